@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.llm import mixing, pieces, tokens, topn
+from stratalens.llm import mixing, pieces, syntax, tokens, topn
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": pieces.p1_found,
         "p1_pieces": pieces.p1_pieces,
         "p3_found": topn.p3_found,
+        "p5_found": syntax.p5_found,
+        "p5_files": syntax.p5_files,
+        "p5_rates": syntax.p5_rates,
         "p7_ids": tokens.p7_ids,
         "p8_mixture": mixing.p8_mixture,
         "p8_shares": mixing.p8_shares,

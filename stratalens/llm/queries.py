@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.llm import mixing, pieces, syntax, tokens, topn
+from stratalens.llm import mixing, pieces, spans, syntax, tokens, topn
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": syntax.p5_found,
         "p5_files": syntax.p5_files,
         "p5_rates": syntax.p5_rates,
+        "p6_found": spans.p6_found,
+        "p6_files": spans.p6_files,
         "p7_ids": tokens.p7_ids,
         "p8_mixture": mixing.p8_mixture,
         "p8_shares": mixing.p8_shares,

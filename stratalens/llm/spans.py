@@ -229,13 +229,15 @@ class Shared:
     def coverage(self) -> DataFrame:
         """id, n_shared, n_repeated: code points that occur in a span of another record, and of one with a lower id."""
         cp = cut(self.class_pairs())
-        low = self.classes.select("h", "c", "low")
-        ab = cp.join(low.withColumnsRenamed({"c": "d", "low": "other"}), ["h", "d"]).select("h", "c", "before", "after", "other")
-        ba = cp.join(low.withColumnRenamed("low", "other"), ["h", "c"]).select("h", F.col("d").alias("c"), "before", "after", "other")
+        ends = self.classes.select("h", "c", "low", "high")
+        ab = cp.join(ends.withColumnRenamed("c", "d"), ["h", "d"]).select("h", "c", "before", "after", "low", "high")
+        ba = cp.join(ends, ["h", "c"]).select("h", F.col("d").alias("c"), "before", "after", "low", "high")
         own = self.members.select("h", "c", "id", "at", "lead", F.length("ctx").alias("len"))
         same = self.classes.where("low < high").select("h", "c", "low", "high")
         m0 = own.join(same, ["h", "c"]).select("id", "at", F.col("lead").alias("before"), (F.col("len") - F.col("lead")).alias("after"), F.when(F.col("id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"))
-        m1 = own.join(ab.unionAll(ba), ["h", "c"]).select("id", "at", "before", "after", "other")
+        # a span that one record holds twice is not shared
+        other = F.when(F.col("id") == F.col("low"), F.col("high")).otherwise(F.col("low"))
+        m1 = own.join(ab.unionAll(ba), ["h", "c"]).select("id", "at", "before", "after", other.alias("other")).where("id <> other")
         ivs = m0.unionAll(m1).withColumn("p", F.explode("at")).select("id", (F.col("p") - F.col("before")).alias("lo"), (F.col("p") + F.col("after")).alias("hi"), (F.col("other") < F.col("id")).alias("later"))
         # an interval inside a file counts what reaches past all that begin before it; a file's intervals are at most its length
         ivs = ivs.groupBy("id", "lo").agg(F.max("hi").alias("hi"), F.max(F.when(F.col("later"), F.col("hi"))).alias("hi2"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.llm import mixing, pieces, spans, syntax, tokens, topn
+from stratalens.llm import mixing, pieces, secrets, spans, syntax, tokens, topn
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": pieces.p1_found,
         "p1_pieces": pieces.p1_pieces,
         "p3_found": topn.p3_found,
+        "p4_found": secrets.p4_found,
+        "p4_redacted": secrets.p4_redacted,
         "p5_found": syntax.p5_found,
         "p5_files": syntax.p5_files,
         "p5_rates": syntax.p5_rates,

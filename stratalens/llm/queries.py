@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.llm import mixing, pieces, secrets, spans, syntax, tokens, topn
+from stratalens.llm import mixing, origin, pieces, secrets, spans, syntax, tokens, topn
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": pieces.p1_found,
         "p1_pieces": pieces.p1_pieces,
+        "p2_found": origin.p2_found,
+        "p2_origin": origin.p2_origin,
         "p3_found": topn.p3_found,
         "p4_found": secrets.p4_found,
         "p4_redacted": secrets.p4_redacted,

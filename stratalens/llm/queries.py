@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.llm import mixing, origin, pieces, secrets, spans, syntax, tokens, topn
+from stratalens.llm import mixing, origin, pieces, secrets, sentences, spans, syntax, tokens, topn
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_found": spans.p6_found,
         "p6_files": spans.p6_files,
         "p7_ids": tokens.p7_ids,
+        "p9_found": sentences.p9_found,
         "p8_mixture": mixing.p8_mixture,
         "p8_shares": mixing.p8_shares,
     }

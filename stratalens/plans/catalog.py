@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.plans import git
+from stratalens.plans import git, graphs
 
-PLANS = (git,)
+PLANS = (git, graphs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -18,6 +18,12 @@ def named_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(n.withColumnsRenamed({"id": "src", "path": "src_path"}), "src").join(n.withColumnsRenamed({"id": "dst", "path": "dst_path"}), "dst").select("src_path", "dst_path")
 
 
+def module_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """src, dst of modules with an edge between their files."""
+    e = named_edges(edges, nodes)
+    return e.select(module_key(F.col("src_path")).alias("src"), module_key(F.col("dst_path")).alias("dst")).where("src <> dst").distinct()
+
+
 def dependents(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """path, dependents, first_dependent of every node that something points to."""
     e = named_edges(edges, nodes)

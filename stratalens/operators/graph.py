@@ -22,41 +22,42 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(i, "id", "left").join(o, "id", "left").fillna(0, ["in_degree", "out_degree"])
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tol: float = 1e-6, rounds: int = 100) -> DataFrame:
-    """id, rank; the mass of nodes without links out is spread over all. Stops when the summed change is under tol."""
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tol: float = 1e-6, rounds: int = 120, chunk: int = 5) -> DataFrame:
+    """id, rank; the mass of nodes without links out is spread over all, and ranks sum to 1.
+
+    With uniform teleport and uniform spreading the ranks are proportional to y = 1 + damping * A y, so rounds need no global
+    sum; it is taken once, to normalise. `chunk` rounds make one job. Stops when the relative change is under tol.
+    """
     e = simple(edges)
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("k"))
-    links = cut(e.join(out, "src").withColumn("w", 1.0 / F.col("k")).select("src", "dst", "w"))
-    ids = nodes.select("id").distinct()
-    n = ids.count()
-    if not n:
-        return ids.withColumn("rank", F.lit(0.0))
-    r = cut(ids.join(out.select(F.col("src").alias("id"), F.lit(True).alias("linked")), "id", "left").select("id", F.lit(1.0 / n).alias("rank"), F.coalesce("linked", F.lit(False)).alias("linked")))
-    for _ in range(rounds):
-        loose = r.where("not linked").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("x")).first().x
-        got = links.join(r, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("w")).alias("m"))
-        nxt = r.join(got, F.col("id") == F.col("dst"), "left").select(
-            "id", "linked", F.col("rank").alias("old"), ((1 - damping) / n + damping * (F.coalesce("m", F.lit(0.0)) + loose / n)).alias("rank")
-        )
+    links = cut(e.join(out, "src").select("src", "dst", (F.lit(damping) / F.col("k")).alias("w")))
+    r = cut(nodes.select("id").distinct().withColumn("rank", F.lit(1.0)))
+    for _ in range(0, rounds, chunk):
+        nxt = r.select("id", "rank", F.col("rank").alias("old"))
+        for _ in range(chunk):
+            got = links.join(nxt.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("w")).alias("m"))
+            nxt = nxt.select("id", F.col("rank").alias("old")).join(got.withColumnRenamed("dst", "id"), "id", "left").select("id", "old", (1.0 + F.coalesce("m", F.lit(0.0))).alias("rank"))
         nxt = cut(nxt)
-        change = nxt.agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("d")).first().d
-        r = nxt.drop("old")
-        if change < tol:
+        s = nxt.agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("d"), F.sum("rank").alias("t")).first()
+        r = nxt.select("id", "rank")
+        if not s.t or s.d / s.t < tol:
             break
-    return r.select("id", "rank")
+    total = s.t or 1.0
+    return r.select("id", (F.col("rank") / total).alias("rank"))
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """id, depth of every node reachable from the roots (id), by frontier rounds."""
     e = cut(simple(edges))
-    seen = cut(roots.select("id").distinct().withColumn("depth", F.lit(0)))
-    front, depth = seen, 0
-    while front.limit(1).count():
+    state = cut(roots.select("id").distinct().withColumn("depth", F.lit(0)))
+    depth = 0
+    while True:
+        step = state.where(F.col("depth") == depth).join(e, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
         depth += 1
-        step = front.join(e, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-        front = cut(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
-        seen = seen.unionAll(front)
-    return seen
+        new = step.join(state, "id", "left_anti").withColumn("depth", F.lit(depth))
+        state = cut(state.unionAll(new).repartition("id"))
+        if not state.where(F.col("depth") == depth).limit(1).count():
+            return state
 
 
 def shortest_path(edges: DataFrame, start: object, goal: object) -> list:
@@ -64,21 +65,18 @@ def shortest_path(edges: DataFrame, start: object, goal: object) -> list:
     if start == goal:
         return [start]
     e = cut(simple(edges))
-    spark = edges.sparkSession
     kind = dict(edges.dtypes)["src"]
-    seen = spark.createDataFrame([(start, None)], f"id {kind}, prev {kind}")
-    front = seen
-    while front.limit(1).count():
-        step = front.join(e, F.col("id") == F.col("src")).groupBy("dst").agg(F.min("src").alias("prev")).withColumnRenamed("dst", "id")
-        front = cut(step.join(seen, "id", "left_anti").select("id", "prev"))
-        seen = seen.unionAll(front)
-        if front.where(F.col("id") == F.lit(goal)).count():
-            path, at = [goal], goal
-            while at != start:  # one row a step, as long as the path
-                at = seen.where(F.col("id") == F.lit(at)).first().prev
-                path.append(at)
-            return path[::-1]
-    return []
+    state = e.sparkSession.createDataFrame([(start, [start], 0)], f"id {kind}, path array<{kind}>, depth int")
+    depth = 0
+    while True:
+        step = state.where(F.col("depth") == depth).join(e, F.col("id") == F.col("src")).groupBy("dst").agg(F.min_by("path", "src").alias("path"))
+        depth += 1
+        new = step.withColumnRenamed("dst", "id").join(state.select("id"), "id", "left_anti")
+        new = new.select("id", F.concat("path", F.array("id")).alias("path"), F.lit(depth).alias("depth"))
+        state = cut(state.unionAll(new).repartition("id"))
+        found = state.where((F.col("depth") == depth)).agg(F.max(F.when(F.col("id") == F.lit(goal), F.col("path"))).alias("path"), F.count(F.lit(1)).alias("n")).first()
+        if found.path or not found.n:
+            return list(found.path or [])
 
 
 def betweenness(edges: DataFrame) -> DataFrame:

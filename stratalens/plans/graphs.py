@@ -32,8 +32,8 @@ _IN = "indeg as (select dst as id, count(*) as n from g_edges group by dst)"
 QUERIES = {
     "gr4_degrees": lambda s, d: G.degrees(_n(s, d), _e(s, d)),
     "gr5_pagerank": lambda s, d: G.pagerank(_n(s, d), _e(s, d)).withColumn("rank", F.round("rank", 9)),
-    "gr6_communities": lambda s, d: G.communities(_n(s, d), _e(s, d)),
-    "gr7_betweenness": lambda s, d: G.betweenness(_e(s, d)).withColumn("betweenness", F.round("betweenness", 6)),
+    "gr6_communities": lambda s, d: G.communities(_n(s, d), _e(s, d), rounds=4, levels=2),
+    "gr7_betweenness": lambda s, d: G.betweenness(A.module_edges(_e(s, d), _n(s, d))).withColumn("betweenness", F.round("betweenness", 6)),
     "gr8_reachable": lambda s, d: G.reachable(_e(s, d), _n(s, d).where("is_entry")).select("id"),
     "gr9_shortest_path": _path,
     "gr10_flow_trees": lambda s, d: G.flow_trees(_e(s, d), _n(s, d).where("is_entry")),

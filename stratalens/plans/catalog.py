@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.plans import git, graphs
+from stratalens.plans import git, graphs, health
 
-PLANS = (git, graphs)
+PLANS = (git, graphs, health)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -24,7 +24,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         from orders"""),
     "commit_files": (("orders", "lineitem", "part"), """
         select l_orderkey as commit_id, concat(p_type, '/', p_brand, '/part_', cast(p_partkey as string)) as path,
-               sum(cast(l_quantity as bigint)) as additions, sum(cast(l_tax * 100 as bigint)) as deletions
+               sum(cast(l_quantity as bigint)) as additions, sum(cast(round(l_tax * 100) as bigint)) as deletions
         from lineitem join part on l_partkey = p_partkey join orders on o_orderkey = l_orderkey
         where o_orderpriority not like '5%'
         group by l_orderkey, p_type, p_brand, p_partkey"""),
@@ -51,7 +51,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                case when (l_orderkey + l_linenumber) % 29 = 0 then cast(floor(l_extendedprice / 500) as int) else cast(l_quantity as int) end as n_lines
         from (select distinct l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_quantity, l_extendedprice from lineitem) l"""),
     "h_coverage": (("part",), """
-        select p_partkey as file_id, cast(cast(p_retailprice as bigint) % 100 as double) as line_pct from part where p_partkey % 3 = 0"""),
+        select p_partkey as file_id, cast(cast(floor(p_retailprice) as bigint) % 100 as double) as line_pct from part where p_partkey % 3 = 0"""),
     "jobs": (("events",), """
         select event_id as id, concat('run', cast(user_id % 40 as string)) as run_id, event_type as phase, ts as updated_at,
                case when value < 10 then 'failed' when value < 14 then 'running' when value < 16 then 'pending' else 'completed' end as state

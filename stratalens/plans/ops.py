@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stratalens.operators import architecture as A
+from stratalens.operators import build as B
 from stratalens.operators import resolve as R
 from stratalens.operators import runs as U
+from stratalens.sources import parse as P
 from stratalens.sources.proxy import view, with_views
 from stratalens.sources.tables import table
 
@@ -39,6 +42,10 @@ QUERIES = {
     "set6_replace_changed": lambda s, d: U.replace_changed(*_old_new(s, d), table(s, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey"), "o_orderkey"),
     "set4_prune": lambda s, d: table(s, d, "nodes").where("node_type = 'file'").select("repository_id", F.col("node_id").alias("path")).distinct().join(view(s, d, "files1").select("repository_id", "path"), ["repository_id", "path"], "left_anti"),
     "res_import_edges": _imports,
+    "src9_symbols": lambda s, d: P.symbols(_files(s, d)).groupBy("language", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("complexity").alias("max_complexity")),
+    "gr1_structure_edges": lambda s, d: B.structure_edges(view(s, d, "symbols1")),
+    "str16_mermaid": lambda s, d: B.mermaid(A.cross_communities(view(s, d, "g_edges"), view(s, d, "g_nodes").select("id", F.col("language").alias("community")))),
+    "wk3_page_plan": lambda s, d: B.plan_pages(_files(s, d).where("language = 'go'").select("path").distinct(), _files(s, d).where("language = 'rust'").select("path").distinct()),
     "src9_imports": lambda s, d: R.imports(_files(s, d)).groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("raw").alias("modules")),
 }
 
@@ -55,4 +62,10 @@ ORACLE = {
     "snk2_upsert": "select o_orderkey, o_totalprice, o_orderstatus from orders where o_orderstatus not in ('P', 'F') union all select o_orderkey, o_totalprice + 1, o_orderstatus from orders where o_orderstatus in ('P', 'F')",
     "set6_replace_changed": "select o_orderkey, o_totalprice, o_orderstatus from orders where o_orderstatus not in ('P', 'F') union all select o_orderkey, o_totalprice + 1, o_orderstatus from orders where o_orderstatus = 'F'",
     "set4_prune": with_views("select distinct repository_id, node_id as path from nodes n where node_type = 'file' and not exists (select 1 from files1 f where f.repository_id = n.repository_id and f.path = n.node_id)", "files1"),
+    "gr1_structure_edges": with_views("""select distinct repository_id, src, dst, edge_type, cast(1.0 as double) as confidence from (
+        select repository_id, file_path as src, id as dst, 'defines' as edge_type from symbols1
+        union all select c.repository_id, p.id, c.id, case when c.kind in ('constant', 'variable') then 'has_property' else 'has_method' end from symbols1 c join symbols1 p
+          on p.repository_id = c.repository_id and p.file_path = c.file_path and p.name = c.parent_name and p.parent_name is null and p.ordinal < c.ordinal) e where src <> dst""", "symbols1"),
+    "wk3_page_plan": with_views("""with p as (select distinct path, lower(regexp_extract(path, '\\.([^./]+)$', 1)) as ext from files1 where lower(regexp_extract(path, '\\.([^./]+)$', 1)) in ('go', 'rs'))
+        select path, 'file' as kind from p where ext = 'go' union select array_to_string(string_split(path, '/')[1:k], '/'), 'directory' from (select path, unnest(range(1, len(string_split(path, '/')))) as k from p) q""", "files1"),
 }

@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalens.operators import gitstats as G
+from stratalens.session import cut
 
 
 def git_card(touches: DataFrame) -> DataFrame:
-    """One row for a file: owner, bus factor, churn and activity."""
+    """One row for a file: owner, bus factor, churn and activity.
+
+    The log is read by several aggregates, so it is written once to the shared folder.
+    """
+    touches = cut(touches)
     own = G.owners(touches).select("path", "owner", "owner_share")
     per = G.per_file(touches).select("path", "total_commits", "commits_90d")
     return per.join(own, "path").join(G.bus_factor(touches), "path").join(G.churn(touches).select("path", "churn", "churn_pct", "is_hotspot"), "path")

@@ -178,7 +178,7 @@ def _ends(s: str, lo: int, mark: str, nxt: str, gap: bool, closed: list, last: i
     if not gap:
         return mark[-1] in _STERM and mark[-1] not in "!?" or mark[-1] in "!?" and _wide(ch)
     if set(mark) <= set(_DOTS) and (len(mark) > 1 or mark in "…‥"):
-        return ch.isupper() or ch in "\"“„«¿¡" and nxt[1:2].isupper()
+        return ch.isupper() or ch in "\"“„«¿¡" and nxt[1:2].isupper() or ch.islower() and _CODE.match(nxt) is not None and not _plain_hyphen(nxt)
     if mark[-1] in _STERM:
         return ch not in ",;:—–"
     # a single full stop

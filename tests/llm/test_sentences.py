@@ -3,7 +3,7 @@ import pytest
 from stratalens.llm.sentences import p9_found, sentences
 
 CASES = [
-    "This covers parsing, linking, etc.| The meter is handled elsewhere.", 'The log says "Retry later." and then x.y stops.| Fine.', '"It works."| That is all the report says.',
+    "Read the a resp. the b, but never both…| ratio.denseKnoll is called.| We wait... and then retry it.", "This covers parsing, linking, etc.| The meter is handled elsewhere.", 'The log says "Retry later." and then x.y stops.| Fine.', '"It works."| That is all the report says.',
     'The alert reads "Queue full. Dropping writes." until f_g restarts.| Then go.', '"Is the glyph warm?" asks the runbook before every deploy.', "The job starts at 2 a.m. and rebuilds it.| Why does flatVector return null here?| Nobody knows",
     "It is larger than 64.81 MB.| yard.assignMeter is called before.", "The vessel (cf. parser.go, approx. 2428 lines) was split in v1.7.19.| Done!", "(Details are in a/b.js.)| This covers it.", "See No. 557 and p. 331.| Rows (the avg. is 41.54) are kept, dept. 2453 said so.",
     "Die Prüfung in a/b.ts dauert 27,25 s.| idle_prism wartet so lange.", "Der 2. Versuch gelingt i. d. R. sofort.| Ab dem 3. Mai läuft es mit ca. 77,83 ms.", "Von Mo. bis Fr. um ca. 14.30 Uhr räumt es auf.", "Das gilt für Parser usw.| Alles andere bleibt.",

@@ -123,3 +123,52 @@ def embed(texts: DataFrame, known: DataFrame | None = None, dim: int = 32) -> Da
 
     kind = dict(t.dtypes)["id"]
     return t.select("id", "content_hash", "text").mapInPandas(run, f"id {kind}, content_hash string, vector array<double>")
+
+
+def triage(names: DataFrame, paths: DataFrame, ranks: DataFrame, term: str, each: int = 100, limit: int = 20) -> DataFrame:
+    """repository_id, path, pagerank: the most central of up to `each` symbol hits and `each` path hits for a term.
+
+    names: repository_id, path, name; paths: repository_id, path; ranks: repository_id, path, pagerank.
+    """
+    t = F.lit(term.lower())
+    a = names.where(F.contains(F.lower("name"), t)).select("repository_id", "path").distinct().orderBy("repository_id", "path").limit(each)
+    b = paths.where(F.contains(F.lower("path"), t)).select("repository_id", "path").distinct().orderBy("repository_id", "path").limit(each)
+    hits = a.union(b).distinct()
+    return ranks.join(F.broadcast(hits), ["repository_id", "path"]).orderBy(F.desc("pagerank"), "repository_id", "path").limit(limit)
+
+
+def decision_star(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(decisions, evidence, links) of records: title, source, file, line_no, quote, affected (array of paths)."""
+    key = F.sha2(F.concat_ws("|", "title", "source", "file"), 256).alias("decision_id")
+    r = records.select(key, "*")
+    decisions = r.groupBy("decision_id").agg(F.first("title").alias("title"), F.first("source").alias("source"))
+    evidence = r.select("decision_id", "file", "line_no", "quote").distinct()
+    return decisions, evidence, r.select("decision_id", F.explode("affected").alias("path")).distinct()
+
+
+def match_decisions(records: DataFrame, text: str, path: str, limit: int = 12) -> DataFrame:
+    """Records whose title has the text or whose affected paths hold the path, the surest first."""
+    hit = F.contains(F.lower("title"), F.lit(text.lower())) | F.array_contains("affected", path)
+    return records.where(hit).orderBy(F.desc("confidence"), "title").limit(limit)
+
+
+def first_quote(findings: DataFrame) -> DataFrame:
+    """repository_id, file_path, snippet: one finding for each file, the smallest id with a snippet."""
+    return findings.where("snippet is not null").groupBy("repository_id", "file_path").agg(F.min_by("snippet", "finding_id").alias("snippet"))
+
+
+def context_card(files: DataFrame, nodes: DataFrame, symbols: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row for a file: rank, degrees, symbols and findings; each side is aggregated to the file before its join."""
+    key = ["repository_id", "path"]
+    n = nodes.where("node_type = 'file'").select("repository_id", F.col("file_path").alias("path"), "pagerank", "in_degree", "out_degree")
+    s = symbols.groupBy("repository_id", F.col("file_path").alias("path")).agg(F.count(F.lit(1)).alias("symbols"), F.max("complexity").alias("max_complexity"))
+    f = findings.groupBy("repository_id", F.col("file_path").alias("path")).agg(F.count_distinct("finding_id").alias("findings"))
+    return files.select(*key, "file_id").join(n, key, "left").join(s, key, "left").join(f, key, "left").fillna(0, ["symbols", "findings", "in_degree", "out_degree"]).drop("repository_id")
+
+
+def head_tail(text, n: int):  # noqa: ANN001, ANN201
+    """The first and last n/2 characters of a long text, cut at line ends, with a mark between."""
+    half = n // 2
+    head = F.regexp_replace(F.substring(text, 1, half), r"\n[^\n]*$", "\n")
+    tail = F.regexp_replace(F.right(text, F.lit(half)), r"^[^\n]*\n", "\n")
+    return F.when(F.length(text) > n, F.concat(head, F.lit("…"), tail)).otherwise(text)

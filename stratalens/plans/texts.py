@@ -39,6 +39,11 @@ QUERIES = {
     "sr3_lexical_search": lambda s, d: M.lexical(M.postings(_d(s, d)), ["cache", "parser", "node", "rows"]),
     "sr3_postings": lambda s, d: M.postings(_d(s, d)).groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n")),
     "sr4_rescue": lambda s, d: view(s, d, "symbols1").where(F.lower("name").isin("parse_cache", "parsecache")).select("symbol_id", "name").orderBy(F.length("name"), "name", "symbol_id").limit(20),
+    "sr5_triage": lambda s, d: M.triage(
+        view(s, d, "symbols1").select("repository_id", F.col("file_path").alias("path"), "name"), view(s, d, "files1").select("repository_id", "path"),
+        view(s, d, "nodes1").where("node_type = 'file'").select("repository_id", F.col("file_path").alias("path"), F.coalesce("pagerank", F.lit(0.0)).alias("pagerank")), "cache"),
+    "jn3_first_quote": lambda s, d: M.first_quote(table(s, d, "security_findings")),
+    "jn14_context_card": lambda s, d: M.context_card(view(s, d, "files1"), view(s, d, "nodes1"), view(s, d, "symbols1"), table(s, d, "security_findings")),
     "srt5_nearest": _nearest,
     "mth4_cosine": lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(T.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm2")),
     "emb1_embed": lambda s, d: M.embed(_d(s, d)).select("id", "content_hash", F.size("vector").alias("dim")),
@@ -113,6 +118,14 @@ ORACLE = {
     "sr3_lexical_search": f"with {_POST}, k as (select id, term, count(*) as n from po where term in ('cache', 'parser', 'node', 'rows') group by 1, 2) select id, count(*) as matched, cast(sum(n) as bigint) as hits from k group by 1 order by matched desc, hits desc, id limit 12",
     "sr3_postings": f"with {_POST} select term, count(distinct id) as docs, count(*) as n from po group by 1",
     "sr4_rescue": with_views("select symbol_id, name from symbols1 where lower(name) in ('parse_cache', 'parsecache') order by length(name), name, symbol_id limit 20", "symbols1"),
+    "sr5_triage": with_views("""with h as (select * from (select distinct repository_id, file_path as path from symbols1 where contains(lower(name), 'cache') order by 1, 2 limit 100)
+        union select * from (select distinct repository_id, path from files1 where contains(lower(path), 'cache') order by 1, 2 limit 100))
+        select n.repository_id, n.file_path as path, coalesce(pagerank, 0) as pagerank from nodes1 n join h on h.repository_id = n.repository_id and h.path = n.file_path where node_type = 'file' order by 3 desc, 1, 2 limit 20""", "symbols1", "files1", "nodes1"),
+    "jn3_first_quote": "select repository_id, file_path, arg_min(snippet, finding_id) as snippet from security_findings where snippet is not null group by 1, 2",
+    "jn14_context_card": with_views("""select f.path, f.file_id, n.pagerank, coalesce(n.in_degree, 0) as in_degree, coalesce(n.out_degree, 0) as out_degree, coalesce(s.symbols, 0) as symbols, s.max_complexity, coalesce(g.findings, 0) as findings from files1 f
+        left join (select * from nodes1 where node_type = 'file') n on n.repository_id = f.repository_id and n.file_path = f.path
+        left join (select repository_id, file_path, count(*) as symbols, max(complexity) as max_complexity from symbols1 group by 1, 2) s on s.repository_id = f.repository_id and s.file_path = f.path
+        left join (select repository_id, file_path, count(distinct finding_id) as findings from security_findings group by 1, 2) g on g.repository_id = f.repository_id and g.file_path = f.path""", "files1", "nodes1", "symbols1"),
     "srt5_nearest": "select vec_id, round(list_cosine_similarity(cast(embedding as double[]), (select cast(embedding as double[]) from embeddings where vec_id = 0)), 6) as cosine from embeddings order by 2 desc, 1 limit 10",
     "mth4_cosine": "select vec_id, round(list_dot_product(cast(embedding as double[]), cast(embedding as double[])), 4) as norm2 from embeddings",
     "emb1_embed": "select doc_id as id, sha256(substr(coalesce(text, ''), 1, 6000)) as content_hash, 32 as dim from documents",

@@ -72,7 +72,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "nodes1": (("nodes",), """
         select repository_id, node_id, node_type, coalesce(path, node_id) as file_path, language, is_test, is_entry_point, symbol_count,
                case when isnan(pagerank) then null else pagerank end as pagerank, community_id, in_degree, out_degree
-        from (select *, row_number() over (partition by repository_id, node_id order by indexed_at desc nulls last) as rn from nodes) n where rn = 1"""),
+        from (select *, row_number() over (partition by repository_id, node_id order by indexed_at desc nulls last, in_degree desc nulls last, out_degree desc nulls last) as rn from nodes) n where rn = 1"""),
 }
 USES = {"touches": ("commits", "commit_files")}
 
@@ -91,7 +91,7 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
         from pyspark.sql import functions as F
 
         keep = ["node_type", "path", "language", "is_test", "is_entry_point", "symbol_count", "pagerank", "community_id", "in_degree", "out_degree"]
-        v = n.groupBy("repository_id", "node_id").agg(F.max_by(F.struct(*keep), F.coalesce("indexed_at", F.lit("0001-01-01").cast("timestamp_ntz"))).alias("v"))
+        v = n.groupBy("repository_id", "node_id").agg(F.max_by(F.struct(*keep), F.struct("indexed_at", "in_degree", "out_degree")).alias("v"))
         v = v.select("repository_id", "node_id", "v.*").withColumn("file_path", F.coalesce("path", "node_id"))
         return v.withColumn("pagerank", F.when(~F.isnan("pagerank"), F.col("pagerank"))).drop("path")
     return spark.sql(sql)

@@ -280,28 +280,44 @@ PYTHON = """
 file: NEWLINE* stmt*
 stmt: simple NEWLINE | compound
 simple: small (';' small)* ';'?
-small: stars | stars augop (stars | yield) | target ann | chain | 'return' stars? | 'import' dotted ('as' id)? (',' dotted ('as' id)?)* | 'from' (('.' | '...')* dotted | ('.' | '...')+) 'import' ('*' | inames | '(' inames ','? ')') | 'raise' (test ('from' test)?)? | 'pass' | 'del' stars | 'yield' yieldrest | 'assert' test (',' test)? | 'break' | 'continue' | 'global' id (',' id)* | 'nonlocal' id (',' id)* | 'type' id tparams? '=' test
-target: stars
+small: stars | single augop (stars | yield) | single ann | chain | 'return' stars? | 'import' dotted ('as' id)? (',' dotted ('as' id)?)* | 'from' (('.' | '...')* dotted | ('.' | '...')+) 'import' ('*' | inames | '(' inames ','? ')') | 'raise' (test ('from' test)?)? | 'pass' | 'del' dels | 'yield' yieldrest | 'assert' test (',' test)? | 'break' | 'continue' | 'global' id (',' id)* | 'nonlocal' id (',' id)* | 'type' id tparams? '=' test
+single: id | place | '(' single ')'
+place: primary '.' id | primary '[' subs ']'
+tgt: id | place | '(' tgts? ')' | '[' tgts? ']'
+tgts: '*'? tgt (',' '*'? tgt)* ','?
+dels: tgt (',' tgt)* ','?
 ann: ':' test ('=' (stars | yield))?
-chain: (stars '=')+ (stars | yield)
+chain: (tgts '=')+ (stars | yield)
 augop: AUG
 inames: id ('as' id)? (',' id ('as' id)?)*
 id: ID | 'match' | 'case' | 'type' | '_'
 dotted: id ('.' id)*
 yield: 'yield' yieldrest
 yieldrest: ('from' test | stars)?
-compound: 'if' named ':' suite ('elif' named ':' suite)* else? | 'while' named ':' suite else? | 'async'? 'for' stars 'in' stars ':' suite else? | 'try' ':' suite (('except' ('*'? test (',' test)* ('as' id)?)? ':' suite)+ else? ('finally' ':' suite)? | 'finally' ':' suite) | 'async'? 'with' withs ':' suite | decos ('async'? 'def' id tparams? '(' params ')' ('->' test)? ':' suite | 'class' id tparams? ('(' args ')')? ':' suite) | 'match' stars ':' NEWLINE INDENT ('case' pats ('if' named)? ':' suite)+ DEDENT
+compound: 'if' named ':' suite ('elif' named ':' suite)* else? | 'while' named ':' suite else? | 'async'? 'for' tgts 'in' stars ':' suite else? | 'try' ':' suite (('except' ('*'? test ('as' id)?)? ':' suite)+ else? ('finally' ':' suite)? | 'finally' ':' suite) | 'async'? 'with' withs ':' suite | decos ('async'? 'def' id tparams? '(' params ')' ('->' test)? ':' suite | 'class' id tparams? ('(' cargs ')')? ':' suite) | 'match' stars ':' NEWLINE INDENT ('case' pats ('if' named)? ':' suite)+ DEDENT
 decos: ('@' named NEWLINE)*
 else: 'else' ':' suite
 suite: simple NEWLINE | NEWLINE INDENT stmt+ DEDENT
 withs: with (',' with)* | '(' with (',' with)* ','? ')'
-with: test ('as' star)?
+with: test ('as' '*'? tgt)?
 tparams: '[' tparam (',' tparam)* ','? ']'
 tparam: ('*' | '**')? id (':' test)? ('=' test)?
-params: (param (',' param)* ','?)?
-param: id (':' test)? ('=' test)? | '*' (id (':' '*'? test)?)? | '**' id (':' test)? | '/'
-lparams: (lparam (',' lparam)* ','?)?
-lparam: id ('=' test)? | '*' id? | '**' id | '/'
+params: ((paramhead | paramtail | paramhead ',' paramtail) ','?)?
+param: id (':' test)?
+paramd: param '=' test
+paramps: param (',' param)*
+paramds: paramd (',' paramd)*
+paramhead: paramps (',' paramds)? | paramds | paramps ',' '/' (',' paramps)? (',' paramds)? | (paramps ',')? paramds ',' '/' (',' paramds)?
+paramtail: '*' id (':' '*'? test)? (',' (param | paramd))* (',' paramkw)? | '*' (',' (param | paramd))+ (',' paramkw)? | paramkw
+paramkw: '**' param
+lparams: ((lparamhead | lparamtail | lparamhead ',' lparamtail) ','?)?
+lparam: id
+lparamd: lparam '=' test
+lparamps: lparam (',' lparam)*
+lparamds: lparamd (',' lparamd)*
+lparamhead: lparamps (',' lparamds)? | lparamds | lparamps ',' '/' (',' lparamps)? (',' lparamds)? | (lparamps ',')? lparamds ',' '/' (',' lparamds)?
+lparamtail: '*' id (',' (lparam | lparamd))* (',' lparamkw)? | '*' (',' (lparam | lparamd))+ (',' lparamkw)? | lparamkw
+lparamkw: '**' lparam
 stars: star (',' star)* ','?
 star: '*' bin | test
 named: test | id ':=' test | '*' bin NEVER
@@ -310,21 +326,27 @@ bin: unary (binop unary)*
 binop: BIN | '+' | '|' | '*' | '**' | '-' | '/' | '@' | 'in' | 'not' 'in' | 'is' 'not'? | 'and' | 'or'
 unary: ('-' | UN | '+' | 'not') unary | 'await'? primary
 primary: atom | primary '.' id | primary '(' args ')' | primary '[' subs ']'
-atom: id | LIT | STR+ | '...' | '(' (yield | genitems)? ')' | '[' genitems? ']' | '{' (genitems | kvs)? '}'
+atom: id | LIT | strs | '...' | '(' (yield | genitems)? ')' | '[' genitems? ']' | '{' (genitems | kvs)? '}'
 genitems: item (',' item)* ','? | item comp+
 item: '*' bin | named
 kvs: kv (',' kv)* ','? | test ':' test comp+
 kv: test ':' test | '**' bin
-comp: 'async'? 'for' stars 'in' bin ('if' 'not'? cond)* | 'async'? 'for' stars 'in' bin NEVER
+comp: 'async'? 'for' tgts 'in' bin ('if' 'not'? cond)* | 'async'? 'for' tgts 'in' bin NEVER
 cond: named
-args: (arg (',' arg)* ','? | named comp+)?
-arg: named | id '=' test | '*' test | '**' test
+args: cargs | named comp+
+cargs: (pos (',' pos)* (',' kws)? ','? | kws ','?)?
+pos: named | '*' test
+kwa: id '=' test
+kwb: '**' test (',' (kwa | '**' test))*
+kws: kwa (',' (kwa | '*' test))* (',' kwb)? | kwb
 subs: sub (',' sub)* ','?
 sub: named | '*' bin | test? ':' test? (':' test?)?
 pats: pat (',' pat)* ','?
 pat: pat1 ('|' pat1)* ('as' id)? | '*' id
-pat1: LIT | '-' LIT | STR+ | dotted | dotted '(' ((pat | id '=' pat) (',' (pat | id '=' pat))* ','?)? ')' | '(' pats? ')' | '[' pats? ']' | '{' ((kpat | '**' id) (',' (kpat | '**' id))* ','?)? '}'
-kpat: (LIT | '-' LIT | STR+ | dotted) ':' pat
+strs: STR+ | BYTES+
+num: '-'? LIT (('+' | '-') LIT)?
+pat1: num | strs | dotted | dotted '(' ((pat | id '=' pat) (',' (pat | id '=' pat))* ','?)? ')' | '(' pats? ')' | '[' pats? ']' | '{' ((kpat | '**' id) (',' (kpat | '**' id))* ','?)? '}'
+kpat: (num | strs | dotted) ':' pat
 """
 
 YAML = """

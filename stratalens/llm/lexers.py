@@ -8,6 +8,7 @@ NOTHING, which no rule takes.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 
 from stratalens.llm import grammars
@@ -366,6 +367,18 @@ BIN == != / % ^ +_
         return super().make(tok)
 
 
+_ESCAPE = re.compile(r"\\(?:x[\da-fA-F]{2}|u[\da-fA-F]{4}|U[\da-fA-F]{8}|N\{[^}]*\}|[\s\S])")
+_FSKIP = re.compile(r"""[rRbBuUfF]{0,2}(?:\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')""")
+
+
+def _named(name: str) -> bool:
+    try:
+        unicodedata.lookup(name)
+    except KeyError:
+        return False
+    return True
+
+
 class Python(Language):
     words = _classes("LIT True False None")
     ops = _classes("""
@@ -382,14 +395,14 @@ DOTS .
     def pattern(self) -> str:
         q = r"[rRbBuUfF]{0,2}"
         return r"(?:[ \t\f]|\\\r?\n)*(" + _groups(
-            r"\r?\n(?:[ \t\f]*(?:#[^\n]*)?\r?\n)*[ \t\f]*(?:#[^\n]*\Z)?", q + r'"""(?:[^\\]|\\[\s\S])*?"""', q + r"'''(?:[^\\]|\\[\s\S])*?'''", q + r'"(?:[^"\\\n]|\\[\s\S])*"', q + r"'(?:[^'\\\n]|\\[\s\S])*'",
+            r"\r?\n(?:[ \t\f]*(?:#[^\n]*)?\r?\n)*[ \t\f]*(?:#[^\n]*\Z)?", q + r'"""(?:[^\\]|\\[\s\S])*?"""', q + r"'''(?:[^\\]|\\[\s\S])*?'''", q + r'"(?!"")(?:[^"\\\n]|\\[\s\S])*"', q + r"'(?!'')(?:[^'\\\n]|\\[\s\S])*'",
             _ID, r"\.?\d(?:[eE][+-](?=\d)|[\w.])*", r"#[^\n]*", r"\*\*=|//=|>>=|<<=|\.\.\.|->|:=|\*\*|//|<<|>>|[-+*/%@&|^<>=!]=", r"[\s\S]",
         ) + ")"
 
     def make(self, tok: str) -> str:
         a = tok[0]
-        if tok[-1] in "\"'" and len(tok) > 1:
-            return self.c("STR")
+        if tok[-1] in "\"'" and len(tok) > 1 and a != "#":
+            return self.string(tok)
         if a.isalpha() or a == "_":
             w = self.words.get(tok, tok)
             return self.known.get(w) or self.c("ID")
@@ -405,6 +418,79 @@ DOTS .
             return self.c(".")
         return self.c(self.ops.get(tok, tok)) if tok not in "$?!`\\" else NOTHING
 
+    def string(self, tok: str) -> str:
+        """The code of a string literal; of one with a bad escape or replacement field, no code."""
+        at = min(i for i in (tok.find('"'), tok.find("'")) if i >= 0)
+        kind = tok[:at].lower()
+        if kind not in ("", "r", "b", "u", "f", "br", "rb", "fr", "rf"):
+            return NOTHING
+        n = 3 if len(tok) - at >= 6 and tok[at : at + 3] in ('"""', "'''") else 1
+        body = tok[at + n : len(tok) - n]
+        if "b" in kind and not body.isascii():
+            return NOTHING
+        if "r" not in kind and "\\" in body:
+            for m in _ESCAPE.finditer(body):
+                e = m[0]
+                if e in ("\\x", "\\u", "\\U", "\\N") and (e == "\\x" or "b" not in kind):
+                    return NOTHING
+                if e[1] == "N" and "b" not in kind and not _named(e[3:-1]) or e[1] == "U" and len(e) == 10 and "b" not in kind and int(e[2:], 16) > 0x10FFFF:
+                    return NOTHING
+        if "f" in kind and ("{" in body or "}" in body) and self.fields(body, 0, False, "r" in kind) != len(body):
+            return NOTHING
+        return self.c("BYTES" if "b" in kind else "STR")
+
+    def fields(self, body: str, i: int, spec: bool, raw: bool) -> int:
+        """Where the text of an f-string, or of a format specification, ends; -1 where a replacement field is no expression."""
+        while i < len(body):
+            if not raw and body.startswith("\\N{", i):
+                i = body.find("}", i) + 1
+                continue
+            c = body[i]
+            if c == "}":
+                if spec:
+                    return i
+                if not body.startswith("}}", i):
+                    return -1
+                i += 2
+                continue
+            if c != "{":
+                i += 1
+                continue
+            if body.startswith("{{", i) and not spec:
+                i += 2
+                continue
+            lo, depth, i = i + 1, 0, i + 1
+            while i < len(body):
+                m = _FSKIP.match(body, i)
+                if m:
+                    i = m.end()
+                    continue
+                c = body[i]
+                if depth == 0 and (c in "}:" or c == "!" and body[i + 1 : i + 2] != "="):
+                    break
+                depth += (c in "([{") - (c in ")]}")
+                i += 1
+            if i >= len(body):
+                return -1
+            expr = body[lo:i].strip()
+            if expr.endswith("=") and expr[-2:-1] not in ("=", "!", "<", ">"):
+                expr = expr[:-1]
+            inner = "(" + expr + "\n)" if expr.startswith(("yield", "*")) is False else "x = " + expr
+            if not expr.strip() or self.run(self.codes(inner)) >= 0:
+                return -1
+            if body[i] == "!":
+                if body[i + 1 : i + 2] not in ("r", "s", "a"):
+                    return -1
+                i += 2
+            if body[i : i + 1] == ":":
+                i = self.fields(body, i + 1, True, raw)
+                if i < 0:
+                    return -1
+            if body[i : i + 1] != "}":
+                return -1
+            i += 1
+        return -1 if spec else i
+
     def codes(self, text: str) -> str:
         table, out, depth, stack = self.table, [], 0, [(0, 0)]
         up, down, nl = self.c("INDENT"), self.c("DEDENT"), self.c("NEWLINE")

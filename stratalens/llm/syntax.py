@@ -1,7 +1,7 @@
 """Source files that do not parse: edit cost, place and kind per file, rates per repository and language.
 
 A file is parsed by the error-correcting chart parser of its language (chart, grammars, lexers); a nonzero edit cost flags
-it. For Python the answer is then checked against the interpreter's own parser, which is exact. The edits say what is wrong:
+it. Of the Python files so flagged, those that the interpreter's own parser takes are let go. The edits say what is wrong:
 edits at the end only are a truncation, edits on conflict marker lines are a merge conflict, a text that another
 language's chart takes at no cost, or that no few edits repair, has the wrong extension; anything else is a plain error.
 """
@@ -44,16 +44,15 @@ def prepared(text: str, lang: str) -> str:
     return text
 
 
-def _python_fails(text: str) -> bool:
+def _python_takes(text: str) -> bool:
+    """Whether the interpreter's parser takes a text; False where it gives up."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             ast.parse(text)
-    except (SyntaxError, ValueError):
-        return True
-    except (RecursionError, MemoryError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return False
-    return False
+    return True
 
 
 def broken(text: str, lang: str) -> bool | None:
@@ -66,7 +65,7 @@ def broken(text: str, lang: str) -> bool | None:
         cost = one.run(one.codes(text)) >= 0
     except RecursionError:
         cost = True
-    return _python_fails(text) if lang == "python" else cost
+    return cost and not (lang == "python" and _python_takes(text))
 
 
 def diagnose(text: str, lang: str) -> tuple[int, int, str]:
@@ -75,8 +74,8 @@ def diagnose(text: str, lang: str) -> tuple[int, int, str]:
     one = lexers.language(lang)
     used: list[str] = []
     at = one.run(one.codes(text), used)
-    if at < 0:  # the chart takes it, the exact parser of the language does not
-        return 1, 0, "error"
+    if at < 0:
+        return 0, 0, "none"
     line = one.line_of(text, at)
     lines = text.split("\n")
     cost, edits = one.chart.repair("".join(used), budget=REPAIR_BUDGET, most=MOST_EDITS)

@@ -58,6 +58,34 @@ def test_byte_order_mark_and_shebang():
     assert syntax.broken("package a\n\nfunc f() {\n}\n}\n", "go")
 
 
+@pytest.mark.parametrize("text", ["f() = 1\n", "for 1 in x:\n    pass\n", "-a = 2\n", "f(a=1, b)\n", "def f(a=1, b): pass\n", "def f(*): pass\n", 'x = b"a" "c"\n', 'x = f"{a b}"\n', 'x = """a"" "\n', 'x = "\\x1"\n', 'x =# "a"\n'])
+def test_the_python_chart_itself_rejects(text):
+    one = lexers.language("python")
+    assert one.run(one.codes(text)) >= 0 and syntax.broken(text, "python")
+    assert syntax.diagnose(text, "python")[1] == 1
+
+
+def test_the_python_chart_itself_takes():
+    one = lexers.language("python")
+    for text in ('x#= "a"\n', "match x:\n    case a.b | 3+4j: pass\n", "a, (b.c, *d[0]), [e] = f\n", "def f(a, b=1, /, c=2, *, d, **k): pass\n", "f(*a, b, c=1, *d, **e)\n", 'f"{a!r:>{w}} {{}} {b[\'c\']:%Y-%m} {x=}"\n'):
+        assert one.run(one.codes(text)) < 0, text
+
+
+def test_the_interpreter_only_confirms(monkeypatch):
+    def gives(error):
+        def parse(text):
+            if error:
+                raise error
+        monkeypatch.setattr(syntax.ast, "parse", parse)
+
+    gives(SyntaxError())
+    assert not syntax.broken("x = 1\n", "python") and syntax.broken("x = (1\n", "python")
+    gives(RecursionError())
+    assert syntax.broken("x = (1\n", "python")
+    gives(None)
+    assert not syntax.broken("x = (1\n", "python")
+
+
 def test_kinds():
     assert syntax.diagnose("package a\n\nfunc f() {\n\tx := g(1,", "go")[2] == "truncation"
     assert syntax.diagnose("let a = 1;\n<<<<<<< HEAD\nlet b = 2;\n=======\nlet c = 3;\n>>>>>>> x\n", "javascript")[2] == "conflict"

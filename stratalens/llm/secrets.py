@@ -5,7 +5,8 @@ schemes, command line options), assignments without quotes, tokens in comments,
 scores each by how far a character Markov chain of ordinary code finds the value likely, by the identifiers around it and by
 the path. It is fitted here, on a bounded sample, to weak labels that pattern matches give; candidates on which no pattern
 speaks stay unlabelled and get their score from the model alone. Scores of at least the threshold, which is chosen on the
-held-out part of the sample, count. A last exact check drops values that cannot be used: masked, empty, looked up.
+held-out part of the sample, count. A last exact check drops values that cannot be used: masked, empty, looked up, paths,
+digests with the name of their algorithm. Upper case, UUIDs and patterns are features of the score.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ SECRET_NAME = re.compile(r"(?i)passw|passphrase|passcode|(?:^|[_\W])pass(?:$|[_\
 OTHER_NAME = re.compile(r"(?i)(?:sha[_-]?\d*|md5|digest|checksum|hash|commit|request[_-]?id|uuid|guid|integrity|revision|etag|fingerprint|public[_-]?key|cert(?:ificate)?|verify|logo|image|icon|pattern|regex|path|hint|help|label|type|kind|primary[_-]?key|placeholder|version|resolved|file|name|prefix|header|url|uri|wire|json|[_-]id|(?-i:Id))$")
 OTHER_NEAR = re.compile(r"(?i)signedsource|vendored|integrity|\bcommit\b|\bsha\d*\b|checksum|revision|\bsee\b|upstream|\bat\s*$")
 EMPTY = re.compile(r"(?i)^(?:$|\W+$|change[-_ ]?me|replace[-_ ]?(?:me|this|with)|your[-_ ]|insert[-_ ]|example$|todo|fixme|dummy|placeholder|redacted|masked$|hidden$|secret$|password$|none$|null$|undefined|fill[-_ ](?:in|me)|set[-_ ]me|x{3,}|\*+|\.{3}|test(?:ing)?$|unset|not[-_ ]set|n/?a$|\d+(?:[,|]\w+)+$)|goes[-_]?here|[-_]here\b|\bredacted\b|\*{3,}|x{6,}|^<.*>$|^\[.*\]$")
-LOOKUP = re.compile(r"^\$(?:[A-Z_]+$|\()|\$\{|\{\{|^\{|^%[({\w]|%s|#\{|<%|(?i:^(?:vault|env|ssm|secret|file|arn|op|gcp|aws|kms|ref|keyring|sha(?:1|256|384|512)|md5|urn)[:-][^/]?)|(?i:getenv|environ|process\.env|secretsmanager)|^/|^\./|^[a-z_]+(?:/[\w.-]+)+$")
+LOOKUP = re.compile(r"^\$(?:[A-Za-z_]\w*$|\()|\$\{|\{\{|^\{|^%[({\w]|%s|#\{|<%|(?i:^(?:vault|env|ssm|secret|file|arn|op|gcp|aws|kms|ref|keyring|urn):[^/]?)|(?i:\benv\(|getenv|environ|process\.env|secretsmanager)")
+_DIGEST = re.compile(r"^(?i:sha(?:1|256|384|512)|md5)[:-](?:[0-9a-fA-F]{32,128}|[A-Za-z0-9+/]{22,88}={0,2})$")
+_PATH = re.compile(r"(?:~|\.{1,2})?/?[\w.@-]+(?:/[\w.@-]+)+/?|(?:~|\.{1,2})?/[\w.@-]+/?")
 _KNOWN = re.compile(r"^(?:AKIA[0-9A-Z]{16}$|ASIA[0-9A-Z]{16}$|eyJ[\w-]{6,}\.[\w-]+\.[\w-]+|gh[pousr]_\w{20,}|xox[abprs]-|AIza[\w-]{20,}|[a-z]{2,4}[_-](?:live|prod|test|sk|pk|pat|key)[_-]\w{10,}|sk[_-]\w{16,})")
 _PHRASE = re.compile(r"^[a-z]+(?:[-_.][a-z]+){2,}[-_.]\d{1,4}$")
 _STRONG = re.compile(r"^(?=.*[A-Za-z])(?=.*\d)(?=.*[^\w\s])\S{7,40}$")
@@ -97,7 +100,7 @@ def candidates(text: str) -> list[tuple[int, int, str, str, str]]:
             add(lo, hi, "string", name, lead)
         elif not found and SECRET_NAME.search(v) and not re.search(r"[;()]", v):
             for n in _TOKEN.finditer(v):
-                if (_LOOKS.match(n.group()) or _KNOWN.match(n.group())) and not _URLISH.search(n.group()):
+                if (_LOOKS.match(n.group()) or _KNOWN.match(n.group())) and not _urlish(n.group()):
                     add(lo + n.start(), lo + n.end(), "comment", "", lead + v[max(0, n.start() - 60) : n.start()])
     for m in _BARE.finditer(text):
         name = m["name"]
@@ -113,7 +116,7 @@ def candidates(text: str) -> list[tuple[int, int, str, str, str]]:
                     add(base + n.start(g) - 1, base + n.end(g) - 1, form, n.group("par") or n.group("opt") or "", body[: max(0, n.start(g) - 1)])
         for n in _TOKEN.finditer(body):
             v = n.group()
-            if (_LOOKS.match(v) or _KNOWN.match(v)) and not _URLISH.match(v):
+            if (_LOOKS.match(v) or _KNOWN.match(v)) and not (_URLISH.match(v) and _urlish(v)):
                 line = text.rfind("\n", 0, base) + 1
                 add(base + n.start(), base + n.end(), "comment", "", _BLOB.sub("", text[max(line, base - 200) : base + n.start()]))
     return sorted(out.values())
@@ -151,6 +154,20 @@ class Chain:
         return -s / (len(w) - 2)
 
 
+def _is_path(v: str) -> bool:
+    """Several short segments, none of which has upper and lower case and digits, as random ones have."""
+    return _PATH.fullmatch(v) is not None and all(len(x) <= 32 and not _mixed(x) for x in v.split("/"))
+
+
+def _mixed(v: str) -> bool:
+    return re.search(r"[a-z]", v) is not None and re.search(r"[A-Z]", v) is not None and re.search(r"\d", v) is not None
+
+
+def _urlish(v: str) -> bool:
+    """Whether a value looks like an address; base64 with slashes does not."""
+    return _URLISH.search(v) is not None and not (re.fullmatch(r"[A-Za-z0-9+/]{16,}={0,2}", v) is not None and _mixed(v) and not _is_path(v))
+
+
 def _entropy(v: str) -> float:
     n = len(v)
     return -sum(k / n * math.log2(k / n) for k in Counter(v).values())
@@ -166,10 +183,11 @@ def facts(c: tuple, text: str, kind: str) -> dict[str, float]:
     other = not placed and OTHER_NAME.search(name) is not None
     return {
         "form": form, "v": v, "hex": hexa, "known": _KNOWN.match(v) is not None, "phrase": _PHRASE.match(v) is not None,
-        "strong": _STRONG.match(v) is not None and not _URLISH.search(v), "uuid": _UUID.match(v) is not None,
-        "empty": EMPTY.search(v) is not None if form != "pem" else False, "lookup": LOOKUP.search(v) is not None if form != "pem" else False,
-        "pattern": _PATTERN.search(v) is not None, "url": _URLISH.search(v) is not None if form == "string" else False,
-        "random": re.fullmatch(r"[A-Za-z0-9+/_=-]{16,}", v) is not None and re.search(r"[a-z]", v) is not None and re.search(r"[A-Z]", v) is not None and re.search(r"\d", v) is not None,
+        "strong": _STRONG.match(v) is not None and not _urlish(v), "uuid": _UUID.match(v) is not None,
+        "empty": EMPTY.search(v) is not None if form != "pem" else False, "lookup": (LOOKUP.search(v) is not None or _is_path(v)) if form != "pem" else False,
+        "digest": _DIGEST.match(v) is not None, "slash": v[:1] in ("/", "."), "seed": re.fullmatch(r"(?=[A-Z]*\d)[A-Z0-9]{16,}=*", v) is not None,
+        "pattern": _PATTERN.search(v) is not None, "url": _urlish(v) if form == "string" else False,
+        "random": re.fullmatch(r"[A-Za-z0-9+/_=-]{16,}", v) is not None and _mixed(v),
         "secret_name": not placed and not other and SECRET_NAME.search(name) is not None or form == "query" and SECRET_NAME.search(name) is not None, "secret_near": SECRET_NAME.search(lead) is not None,
         "other_name": other, "other_near": form in ("comment", "string") and OTHER_NEAR.search(lead) is not None,
         "words": re.fullmatch(r"[A-Za-z]*(?:[-_. ][A-Za-z]+)*", v) is not None, "const": re.fullmatch(r"[A-Z][A-Z0-9_]*", v) is not None and not v.startswith(("AKIA", "ASIA")),
@@ -180,7 +198,7 @@ def facts(c: tuple, text: str, kind: str) -> dict[str, float]:
     }
 
 
-_BOOLS = ("hex", "known", "phrase", "strong", "uuid", "empty", "lookup", "pattern", "url", "random", "secret_name", "secret_near", "other_name", "other_near", "words", "const", "ident", "header", "host", "bare_row", "fallback", "arrow")
+_BOOLS = ("hex", "known", "phrase", "strong", "uuid", "empty", "digest", "slash", "seed", "pattern", "url", "random", "secret_name", "secret_near", "other_name", "other_near", "words", "const", "ident", "header", "host", "bare_row", "fallback", "arrow")
 
 
 def features(f: dict, path: str, chain: Chain) -> list[float]:
@@ -189,7 +207,7 @@ def features(f: dict, path: str, chain: Chain) -> list[float]:
     x = [1.0, *[float(f[b]) for b in _BOOLS], *[float(f["form"] == k) for k in FORMS]]
     bits = chain.bits(v)
     x += [bits / 8, min(n, 80) / 40, _entropy(v) / 5, sum(ch.isdigit() for ch in v) / n, sum(ch.isupper() for ch in v) / n, sum(not ch.isalnum() for ch in v) / n]
-    good = f["known"] or f["phrase"] or f["strong"] or f["random"] or f["hex"]
+    good = f["known"] or f["phrase"] or f["strong"] or f["random"] or f["hex"] or f["seed"]
     ctx = f["secret_name"] or f["secret_near"] or f["header"] or f["host"] or f["form"] in ("user", "query", "auth", "cli", "sql")
     x += [float(good and ctx), float(good and ctx and not f["other_name"]), float(f["hex"] and not ctx), float(f["random"] and not ctx), float(f["other_name"] and f["secret_name"]), float(f["words"] and ctx)]
     x += [float(re.search(r"(?i)(?:^|/)(?:tests?|spec|fixtures?|examples?)/", path or "") is not None), float((path or "").endswith((".json", ".yaml", ".yml"))), float("secret" in f["kind"] or "key" in f["kind"])]
@@ -198,11 +216,13 @@ def features(f: dict, path: str, chain: Chain) -> list[float]:
 
 def weak_label(f: dict) -> int | None:
     """1 or 0 where patterns are sure, None elsewhere."""
-    good = f["known"] or f["phrase"] or f["strong"] or f["random"] or f["hex"]
+    good = f["known"] or f["phrase"] or f["strong"] or f["random"] or f["hex"] or f["seed"]
     if f["form"] == "pem":
         return 1
-    if f["empty"] or f["lookup"] or f["pattern"] or f["uuid"] or f["const"]:
+    if f["empty"] or f["lookup"] or f["digest"]:
         return 0
+    if f["pattern"] or f["uuid"] or f["const"] and not f["seed"]:  # a password may look like these, under its name
+        return None if f["secret_name"] and (f["strong"] or f["uuid"] or f["hex"]) else 0
     if f["known"] and not f["other_name"]:
         return 1
     if f["form"] in ("user", "auth", "cli", "sql"):
@@ -258,7 +278,7 @@ class Model:
         out = []
         for c in candidates(text):
             f = facts(c, text, kind)
-            if f["empty"] or f["lookup"] or f["pattern"] or f["uuid"] or f["const"]:
+            if f["empty"] or f["lookup"] or f["digest"]:
                 continue
             if self.w is None:  # a sample without both labels: patterns alone
                 p = float(weak_label(f) == 1)

@@ -47,3 +47,13 @@ def test_rows(spark, model):
     got = {tuple(r) for r in S.scan(d, model).select("record_kind", "record_id", "line_no").collect()}
     assert got == {("file", 1, 1), ("finding", 2, 1)}
     assert S.scan(d.limit(0), S.fit(d.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("value", ["/c3jhj+Z6etxJatkewjF0YDNIR8s6pSGRLPyaOrGG9A=", "/Qz8/kL3vR+tW9xYbN2mHc7/PdFgJ5sAeU1oZiTqK4w=", "secret-9fK2mQ7xW4zB8vN1cT6y", "env-9fK2mQ7xW4zB8vN1cT6y", "word/9fK2mQ7xW4zB8vN1cT6yLpQ", "JBSWY3DPEHPK3PXPJBSWY3DPEHPK3PXP"])
+def test_shape_alone_drops_no_secret(model, value):
+    assert len(model.found(f'FABRIC_ACCESS_KEY = "{value}"\n', "src/a.py", "")) == 1
+
+
+@pytest.mark.parametrize("value", ["/run/secrets/db-password-2", "./certs/token_v2.pem", "config/keys/prod2.json", "$DB_PASSWORD_2", "env(API_KEY_2)", "vault:kv/data/app2", "SPOOL_TOKEN", "sha256-" + "0aF9" * 11])
+def test_paths_and_lookups_are_no_secrets(model, value):
+    assert not model.found(f'FABRIC_ACCESS_KEY = "{value}"\n', "src/a.py", "")

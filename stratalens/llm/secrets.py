@@ -1,6 +1,6 @@
 """Credentials embedded in source code and in findings: where they are, and the text with only them replaced.
 
-A text gives candidates: quoted strings and what stands inside them (user info of a URL, query parameters, authorization
+A text gives candidates: quoted strings of any length and what stands inside them, escapes undone (user info of a URL, query parameters, authorization
 schemes, command line options), assignments without quotes, tokens in comments, private key blocks. A logistic regression
 scores each by how far a character Markov chain of ordinary code finds the value likely, by the identifiers around it and by
 the path. It is fitted here, on a bounded sample, to weak labels that pattern matches give; candidates on which no pattern
@@ -45,10 +45,10 @@ _UUID = re.compile(r"^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$")
 _PATTERN = re.compile(r"\[[^\]]*-[^\]]*\]|\(\?|\\[dws]|\{\d+,?\d*\}|\.\*")
 
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_QUOTED = re.compile(r"""-----BEGIN|"(?![a-z' .,]*\d*")([^"\n\\]{4,600})"|'(?![a-z .,]*\d*')([^'\n\\"]{4,600})'|`(?![a-z' .,]*\d*`)([^`\n\\"]{4,600})`""")
+_QUOTED = re.compile(r"""-----BEGIN|"(?![a-z' .,]*\d*")((?:[^"\\\n]|\\.){4,})"|'(?![a-z .,]*\d*')((?:[^'\\\n"]|\\.){4,})'|`(?![a-z' .,]*\d*`)((?:[^`\\\n"]|\\.){4,})`""")
 _INNER = re.compile(r"""://[^\s:/@"'`]*:(?P<user>[^\s@"'`/]{3,})@|[?&](?P<par>[\w-]+)=(?P<query>[^&\s"'`#]{6,})|(?i:\b(?P<scheme>bearer|basic|token)\s+)(?P<auth>[\w.~+/=-]{8,})|\s-u\s*['"]?[^\s:]+:(?P<cli>[^\s"'`]{4,})|(?<![\w-])-p(?P<flag>(?=[^\s"'`]*\d)[^\s"'`]{6,})|(?<![\w-])--?(?P<opt>[A-Za-z][\w-]*)[= ](?P<optval>[^\s"'`]{6,})|(?i:\bidentified\s+by|\bpassword)\s+'(?P<sql>[^'\n]{4,})'""")
 _BARE = re.compile(r"""(?m)^[ \t]*(?:-[ \t]+)?(?:(?:set|export|ARG|ENV|setx)[ \t]+)?(?P<name>--?[A-Za-z][\w-]*|[A-Za-z_][\w.-]*)(?:=|:[ \t]+|[ \t]+=[ \t]+)(?P<val>[^\s"'`#(){};,\[\]][^\s"'`(){};,]{5,})[ \t]*(?:#.*)?$""")
-_COMMENT = re.compile(r"""(?m)(?:(?:^|[ \t;{}])(?://|#)|^[ \t]*\*|<!--)[ \t]?(?P<body>[^\n]{8,400})$""")
+_COMMENT = re.compile(r"""(?m)(?:(?:^|[ \t;{}])(?://|#)|^[ \t]*\*|<!--)[ \t]?(?P<body>[^\n]{8,})$""")
 _TOKEN = re.compile(r"""[^\s"'`,;()<>]{8,}""")
 _LOOKS = re.compile(r"^(?=\S*[a-zA-Z])(?=\S*\d)\S+$")
 _PLACES = {"user": "user", "query": "query", "auth": "auth", "cli": "cli", "flag": "cli", "optval": "option", "sql": "sql"}
@@ -64,6 +64,21 @@ def _name_before(text: str, at: int) -> tuple[str, str]:
     return (names[-1] if names else ""), lead
 
 
+_ESCAPED = re.compile(r"\\(?:x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|([\s\S]))")
+_SIMPLE = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "0": "\0"}
+
+
+def unescaped(v: str) -> tuple[str, list[int]]:
+    """What a literal stands for, and where in it each character, and the end, lies."""
+    out, at, i = [], [], 0
+    for m in _ESCAPED.finditer(v):
+        out.append(v[i : m.start()])
+        at += range(i, m.start() + 1)
+        out.append(chr(int(m[1] or m[2], 16)) if m[1] or m[2] else _SIMPLE.get(m[3], m[3]))
+        i = m.end()
+    return "".join([*out, v[i:]]), [*at, *range(i, len(v) + 1)]
+
+
 def candidates(text: str) -> list[tuple[int, int, str, str, str]]:
     """(start, end, form, name, context) of whatever could be a credential."""
     out: dict[int, tuple[int, int, str, str, str]] = {}
@@ -87,21 +102,36 @@ def candidates(text: str) -> list[tuple[int, int, str, str, str]]:
         spans.append((lo, hi))
         name, lead = _name_before(text, lo - 1)
         found = False
-        if ":" in (v := m.group(k)) or " " in v or "=" in v or v[0] == "-":
-            for n in _INNER.finditer(v if v[0] != "-" else v):
+        v, at = m.group(k), None
+        if "\\" in v:
+            v, at = unescaped(v)
+            if re.search("[\"'`]|PRIVATE KEY", v):  # a text of its own, such as JSON
+                for a, b, form, label, near in candidates(v):
+                    add(lo + at[a], lo + at[b], form, label or name, lead + near)
+                    found = True
+        place = lambda i: lo + (at[i] if at else i)
+        if not found and (":" in v or " " in v or "=" in v or v[0] == "-"):
+            for n in _INNER.finditer(v):
                 g = n.lastgroup
                 val = n.group(g) if g not in ("par", "scheme", "opt") else ""
                 if val:
                     form = _PLACES[g]
                     label = n.group("par") or n.group("opt") or name
-                    add(lo + n.start(g), lo + n.end(g), form, label, lead)
+                    add(place(n.start(g)), place(n.end(g)), form, label, lead)
                     found = True
-        if not found and " " not in v.strip():
+        if not found and not re.search(r"\s", v.strip(" ")) and " " not in v.strip():
             add(lo, hi, "string", name, lead)
-        elif not found and SECRET_NAME.search(v) and not re.search(r"[;()]", v):
+        elif not found:
+            whole = len(v) <= 600 and not at  # of a short literal all is context, of a long one what stands before
+            if whole and (not SECRET_NAME.search(v) or re.search(r"[;()]", v)):
+                continue
             for n in _TOKEN.finditer(v):
                 if (_LOOKS.match(n.group()) or _KNOWN.match(n.group())) and not _urlish(n.group()):
-                    add(lo + n.start(), lo + n.end(), "comment", "", lead + v[max(0, n.start() - 60) : n.start()])
+                    named = None if whole else re.match(r"[A-Za-z_][\w.-]*[=:](?=.{8})", n.group())
+                    first = n.start() + (named.end() if named else 0)
+                    near = v[max(0, first - 60) : first]
+                    if whole or SECRET_NAME.search(near) and not re.search(r"[;()]", near):
+                        add(place(first), place(n.end()), "comment", "", lead + near)
     for m in _BARE.finditer(text):
         name = m["name"]
         if SECRET_NAME.search(name) or _KNOWN.match(m["val"]):
@@ -113,12 +143,12 @@ def candidates(text: str) -> list[tuple[int, int, str, str, str]]:
             if g in _PLACES and n.group(g):
                 form = _PLACES[g]
                 if form != "auth" or _LOOKS.match(n.group(g)):
-                    add(base + n.start(g) - 1, base + n.end(g) - 1, form, n.group("par") or n.group("opt") or "", body[: max(0, n.start(g) - 1)])
+                    add(base + n.start(g) - 1, base + n.end(g) - 1, form, n.group("par") or n.group("opt") or "", body[max(0, n.start(g) - 601) : max(0, n.start(g) - 1)])
         for n in _TOKEN.finditer(body):
             v = n.group()
             if (_LOOKS.match(v) or _KNOWN.match(v)) and not (_URLISH.match(v) and _urlish(v)):
                 line = text.rfind("\n", 0, base) + 1
-                add(base + n.start(), base + n.end(), "comment", "", _BLOB.sub("", text[max(line, base - 200) : base + n.start()]))
+                add(base + n.start(), base + n.end(), "comment", "", _BLOB.sub("", text[max(line, base + n.start() - 600) : base + n.start()]))
     return sorted(out.values())
 
 
@@ -177,6 +207,8 @@ def facts(c: tuple, text: str, kind: str) -> dict[str, float]:
     """What patterns say about a candidate; used by features and by weak labels."""
     lo, hi, form, name, lead = c
     v = text[lo:hi]
+    if "\\" in v and form not in ("pem", "bare", "comment"):
+        v = unescaped(v)[0]
     hexa = re.fullmatch(r"[0-9a-fA-F]{16,}", v) is not None
     host = _HOST.search(lead) is not None
     placed = host or form in ("user", "query", "auth", "cli", "sql")  # there the place says it, not the name

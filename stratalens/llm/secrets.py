@@ -44,7 +44,11 @@ _HOST = re.compile(r"[\w-]\.(?:invalid|example|local|com|net|io|org|internal)[\"
 _UUID = re.compile(r"^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$")
 _PATTERN = re.compile(r"\[[^\]]*-[^\]]*\]|\(\?|\\[dws]|\{\d+,?\d*\}|\.\*")
 
-_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----")
+#: A piece of a key block between line ends, real or escaped: base64 in whatever quotes and marks surround it, or a header.
+_BREAK = re.compile(r"\r?\n|\\+[nr]")
+_KEY_LINE = re.compile(r"""[\s"'`+,;.()>#*/\\|-]*(?:\w+ *\+?= *["'`])?[\s"'`+,]*[A-Za-z0-9+/]*={0,2}[\s"'`+,;.()\\]*|[\s"'`>#*/|]*[A-Z][A-Za-z]*(?:-[A-Za-z]+)*: [^\n]*""")
+_KEY_PART = re.compile(r"(\\+[nr])|-----[^\n-]*-----|[A-Z][A-Za-z]*(?:-[A-Za-z]+)*: [^\n\\]*|([A-Za-z0-9+/=]+)")
 _QUOTED = re.compile(r"""-----BEGIN|"(?![a-z' .,]*\d*")((?:[^"\\\n]|\\.){4,})"|'(?![a-z .,]*\d*')((?:[^'\\\n"]|\\.){4,})'|`(?![a-z' .,]*\d*`)((?:[^`\\\n"]|\\.){4,})`""")
 _INNER = re.compile(r"""://[^\s:/@"'`]*:(?P<user>[^\s@"'`/]{3,})@|[?&](?P<par>[\w-]+)=(?P<query>[^&\s"'`#]{6,})|(?i:\b(?P<scheme>bearer|basic|token)\s+)(?P<auth>[\w.~+/=-]{8,})|\s-u\s*['"]?[^\s:]+:(?P<cli>[^\s"'`]{4,})|(?<![\w-])-p(?P<flag>(?=[^\s"'`]*\d)[^\s"'`]{6,})|(?<![\w-])--?(?P<opt>[A-Za-z][\w-]*)[= ](?P<optval>[^\s"'`]{6,})|(?i:\bidentified\s+by|\bpassword)\s+'(?P<sql>[^'\n]{4,})'""")
 _BARE = re.compile(r"""(?m)^[ \t]*(?:-[ \t]+)?(?:(?:set|export|ARG|ENV|setx)[ \t]+)?(?P<name>--?[A-Za-z][\w-]*|[A-Za-z_][\w.-]*)(?:=|:[ \t]+|[ \t]+=[ \t]+)(?P<val>[^\s"'`#(){};,\[\]][^\s"'`(){};,]{5,})[ \t]*(?:#.*)?$""")
@@ -64,6 +68,30 @@ def _name_before(text: str, at: int) -> tuple[str, str]:
     return (names[-1] if names else ""), lead
 
 
+def block_end(text: str, at: int, label: str) -> int:
+    """Where the content of a key block ends: at the END mark of its label, however far; without one, after its last key line."""
+    end = text.find(f"-----END {label}-----", at)
+    if end >= 0 and text.find("-----BEGIN", at, end) < 0:
+        if sum(len(m[0]) for m in _BLOB.finditer(text, at, end)) * 2 >= end - at or end - at <= 12_000:
+            return end
+    last = lo = at
+    while lo < len(text):
+        m = _BREAK.search(text, lo)
+        hi = m.start() if m else len(text)
+        mark = text.find("-----", lo, hi)
+        line = text[lo : mark if mark >= 0 else hi]
+        if not _KEY_LINE.fullmatch(line):
+            break
+        if re.search(r"[A-Za-z0-9+/]", line):
+            if not re.search(r"[A-Za-z0-9+/]{24,}|: ", line) and lo > at:  # a short line is the last; a word or keyword is code
+                return lo + len(line) if re.fullmatch(r"""[\s"'`+]*(?=\S*[\d=+/A-Z])[A-Za-z0-9+/=]+[\s"'`+,;\\]*""", line) else last
+            last = lo + len(line)
+        if mark >= 0 or not m:
+            break
+        lo = m.end()
+    return last
+
+
 _ESCAPED = re.compile(r"\\(?:x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|([\s\S]))")
 _SIMPLE = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "0": "\0"}
 
@@ -89,8 +117,7 @@ def candidates(text: str) -> list[tuple[int, int, str, str, str]]:
 
     if "PRIVATE KEY" in text:
         for m in _PEM.finditer(text):
-            end = text.find("-----END", m.end(), m.end() + 12_000)
-            body = text[m.end() : end if end >= 0 else m.end() + 4_000]
+            body = text[m.end() : block_end(text, m.end(), m[1])]
             if re.search(r"[A-Za-z0-9+/=]{24,}", body):
                 add(m.start(), m.end() + len(body), "pem", *_name_before(text, m.start()))
     spans = []
@@ -352,11 +379,31 @@ def redact(text: str, spans: list[tuple[int, int, str, float]]) -> str:
         if lo < at:
             continue
         out.append(text[at:lo])
-        out.append(re.sub(r"(?<![-A-Za-z0-9+/=])[A-Za-z0-9+/=]{16,}(?![-A-Za-z])", MASK, text[lo:hi]) if form == "pem" else MASK)
+        out.append(_redact_block(text[lo:hi]) if form == "pem" else MASK)
         at = hi
     return "".join([*out, text[at:]])
 
 
+def _redact_block(block: str) -> str:
+    """A key block with its base64 masked: runs of 16 and more, and after one also shorter ones that stand alone."""
+    began = False
+
+    def mask(m: re.Match) -> str:
+        nonlocal began
+        run = m[2]
+        if run is None:
+            return m[0]
+        before, after = block[m.start() - 1 : m.start()], block[m.end() : m.end() + 1]
+        if "-" in (before, after):
+            return run
+        if len(run) >= 16 or began and (before in "\n\r\"'`" or re.search(r"\\[nr]$|\n[ \t>#*/]+$", block[max(0, m.start() - 20) : m.start()])) and after in "\n\r\"'`\\":
+            began = True
+            return MASK
+        return run
+
+    return _KEY_PART.sub(mask, block)
+
+
 def records(spark: SparkSession, folder: str) -> DataFrame:
     """record_kind, record_id, path, kind, text of all files and findings that have a text."""
     f = table(spark, folder, "files").select(F.lit("file").alias("record_kind"), F.col("file_id").alias("record_id"), "path", F.lit("").alias("kind"), F.col("content").alias("text"))

@@ -76,3 +76,25 @@ def test_long_and_escaped_literals(model, text):
 def test_unescaped_offsets():
     v, at = S.unescaped("a\\n\\x41b\\u00e9")
     assert v == "a\nAb\u00e9" and at == [0, 1, 3, 7, 8, 14]
+
+
+LINE = "Ab3/" * 16
+
+
+@pytest.mark.parametrize("label", ["RSA PRIVATE KEY", "PGP PRIVATE KEY BLOCK"])
+def test_key_blocks_of_any_length(model, label):
+    text = f"-----BEGIN {label}-----\n" + "Version: X 1\n\n" * ("PGP" in label) + f"{LINE}\n" * 400 + f"Zq9+kL==\n-----END {label}-----\nx = 1\n"
+    got = S.redact(text, model.found(text, "a.pem", ""))
+    assert LINE not in got and "Zq9+kL" not in got and got.endswith(f"-----END {label}-----\nx = 1\n") and got.count(S.MASK) == 401
+
+
+def test_key_block_without_an_end(model):
+    code = "def a_long_identifier():\n    return AnotherLongIdentifier0123\n"
+    text = f'k = """-----BEGIN RSA PRIVATE KEY-----\n' + f"{LINE}\n" * 200 + 'Zq9+kL==\n"""\n' + code
+    got = S.redact(text, model.found(text, "a.py", ""))
+    assert got.endswith('\n"""\n' + code) and LINE not in got and "Zq9+kL" not in got
+
+
+def test_key_block_on_one_line(model):
+    text = '{"private_key": "-----BEGIN PRIVATE KEY-----\\n' + f"{LINE}\\n{LINE}\\nZq9+kL==" + '\\n-----END PRIVATE KEY-----\\n"}\n'
+    assert S.redact(text, model.found(text, "a.json", "")) == '{"private_key": "-----BEGIN PRIVATE KEY-----\\n' + "\\n".join([S.MASK] * 3) + '\\n-----END PRIVATE KEY-----\\n"}\n'

@@ -3,7 +3,7 @@
 A file is parsed by the error-correcting chart parser of its language (chart, grammars, lexers); a nonzero edit cost flags
 it. Of the Python files so flagged, those that the interpreter's own parser takes are let go. The edits say what is wrong:
 edits at the end only are a truncation, edits on conflict marker lines are a merge conflict, a text that another
-language's chart takes at no cost, or that no few edits repair, has the wrong extension; anything else is a plain error.
+language's chart takes at no cost has the wrong extension; anything else is a plain error.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ def broken(text: str, lang: str) -> bool | None:
 
 
 def diagnose(text: str, lang: str) -> tuple[int, int, str]:
-    """(cost, line, kind) of a broken file."""
+    """(cost, line, kind) of a broken file; a cost over MOST_EDITS is unknown, and no kind follows from it alone."""
     text = prepared(text, lang)
     one = lexers.language(lang)
     used: list[str] = []
@@ -89,7 +89,7 @@ def diagnose(text: str, lang: str) -> tuple[int, int, str]:
                 return cost, line, "mismatch"
     if edits and all(i >= len(used) - 1 for _, i in edits) or at >= len(one.codes(text)) - 1:
         return cost, line, "truncation"
-    return cost, line, "mismatch" if cost > MOST_EDITS else "error"
+    return cost, line, "error"
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,7 +122,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_files(spark: SparkSession, folder: str) -> DataFrame:
     """file_id, repository_id, language, edit_cost, line and kind of each broken file.
 
-    edit_cost is exact up to MOST_EDITS edits within the search budget, and MOST_EDITS + 1 beyond.
+    edit_cost is the least found by edits from 12 tokens before the failure on, so an upper bound of the least at all. It is
+    null, unknown, where the search ends at REPAIR_BUDGET positions or MOST_EDITS edits without a repair.
     """
     rows = files(spark, folder).where("content <> ''").where(F.col("language").isin(list(lexers.MAKERS)))
 
@@ -131,9 +132,11 @@ def p5_files(spark: SparkSession, folder: str) -> DataFrame:
             out = []
             for f, r, k, t in zip(*(c.to_pylist() for c in b.columns)):
                 if broken(t, k):
-                    out.append((f, r, k, *diagnose(t, k)))
+                    cost, line, what = diagnose(t, k)
+                    out.append((f, r, k, cost if cost <= MOST_EDITS else None, line, what))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["file_id", "repository_id", "language", "edit_cost", "line", "kind"])
+                types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["file_id", "repository_id", "language", "edit_cost", "line", "kind"])
 
     shape = "file_id long, repository_id string, language string, edit_cost long, line long, kind string"
     return rows.select("file_id", "repository_id", "language", "content").mapInArrow(run, shape).distinct()

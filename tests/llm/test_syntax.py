@@ -130,3 +130,12 @@ def test_rows(spark):
     got = {tuple(r) for r in syntax.flags(src).select("file_id", "language", "is_broken").collect()}
     assert got == {(1, "python", False), (2, "go", True), (6, "rust", True)}
     assert syntax.flags(src.limit(0)).count() == 0
+
+
+def test_an_exhausted_search_is_no_mismatch(spark, monkeypatch):
+    text = "".join(f"let a{i} = f({i}));\nlet b{i} = ;\n" for i in range(8))
+    cost, _, kind = syntax.diagnose(text, "javascript")
+    assert cost > syntax.MOST_EDITS and kind == "error"
+    d = spark.createDataFrame([(1, "r", "javascript", text)], "file_id long, repository_id string, language string, content string")
+    monkeypatch.setattr(syntax, "files", lambda s, f: d)
+    assert [tuple(r) for r in syntax.p5_files(spark, "").collect()] == [(1, "r", "javascript", None, 1, "error")]

@@ -6,6 +6,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,6 +103,41 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:
     return vectors.select("vec_id", F.round(c, 6).alias("cosine")).orderBy(F.desc("cosine"), "vec_id").limit(k)
 
 
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int = 10, rows: int = 20_000, asked: int = 1_000) -> DataFrame:
+    """query_id, vec_id, cosine: the k vectors of highest cosine of each query row. vectors, queries: vec_id, embedding.
+
+    Blocks of about `asked` queries meet blocks of about `rows` vectors; each pair of blocks gives its own k best, and these
+    are merged a query. Vectors of another length than the query, and null ones, score 0.
+    """
+    nq, nv = max(1, -(-queries.count() // asked)), max(1, -(-vectors.count() // rows))
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    q = queries.where("embedding is not null").select("vec_id", "embedding", block(nq).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("vb"))
+    v = vectors.select("vec_id", "embedding", block(nv).alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out, ids = [], b["vec_id"].to_numpy()
+        size = np.array([-1 if e is None else len(e) for e in b["embedding"]])
+        for n in {len(e) for e in a["embedding"]}:
+            mine = a[[len(e) == n for e in a["embedding"]]]
+            fit = np.flatnonzero(size == n)
+            m = np.array([b["embedding"].iloc[i] for i in fit], dtype=float).reshape(len(fit), n)
+            norms = np.sqrt((m * m).sum(1))
+            for qid, e in zip(mine["vec_id"], mine["embedding"]):
+                e = np.asarray(e, dtype=float)
+                d = norms * np.sqrt((e * e).sum())
+                c = np.zeros(len(ids))
+                c[fit] = np.divide(m @ e, d, out=np.zeros(len(fit)), where=d != 0)
+                c = np.sign(c) * np.floor(np.abs(c) * 1e6 + 0.5) / 1e6
+                top = np.lexsort((ids, -c))[:k]
+                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[top], "cosine": c[top]}))
+        return pd.concat(out) if out and len(ids) else pd.DataFrame({"query_id": [], "vec_id": [], "cosine": []})
+
+    kind = dict(vectors.dtypes)["vec_id"]
+    near = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(best, f"query_id {kind}, vec_id {kind}, cosine double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
+    return near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+
+
 def mock_vector(text: str, dim: int = 32) -> list[float]:
     """A deterministic stand-in for an embedding: digest words mapped to [-1, 1), rehashed to length."""
     out, d = [], hashlib.sha256(text.encode()).digest()

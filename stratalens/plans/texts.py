@@ -21,9 +21,16 @@ def _d(s, d):
 def _nearest(s, d):
     v = table(s, d, "embeddings")
     q = v.where("vec_id = 0").first()
+    if q is None:  # as in its SQL, where the cosine with a missing row is null
+        return v.select("vec_id", F.lit(None).cast("double").alias("cosine")).orderBy("vec_id").limit(10)
     return M.nearest(v, list(q.embedding))
 
 
+def _nearest_each(s, d):
+    v = table(s, d, "embeddings")
+    return M.nearest_each(v, v.where("vec_id % 20 = 0"))
+
+
 def _files(s, d, *cols):
     return view(s, d, "files1").select("file_id", *cols)
 
@@ -45,6 +52,7 @@ QUERIES = {
     "jn3_first_quote": lambda s, d: M.first_quote(table(s, d, "security_findings")),
     "jn14_context_card": lambda s, d: M.context_card(view(s, d, "files1"), view(s, d, "nodes1"), view(s, d, "symbols1"), table(s, d, "security_findings")),
     "srt5_nearest": _nearest,
+    "srt5_nearest_each": _nearest_each,
     "mth4_cosine": lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(T.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm2")),
     "emb1_embed": lambda s, d: M.embed(_d(s, d)).select("id", "content_hash", F.size("vector").alias("dim")),
     "hsh1_content_hash": lambda s, d: _f(s, d).where("text is not null").select("id", F.sha2("text", 256).alias("content_hash")),

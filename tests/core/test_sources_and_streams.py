@@ -53,6 +53,28 @@ def test_vectors(spark):
     assert M.mock_vector("a", 40) == M.mock_vector("a", 40) and len(M.mock_vector("a", 40)) == 40 and all(-1 <= x < 1 for x in M.mock_vector("b"))
 
 
+def test_nearest_of_each_query(spark):
+    rows = [(i, M.mock_vector(str(i % 50), 8)) for i in range(90)] + [(90, [0.0] * 8), (91, [1.0]), (92, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in M.nearest_each(v, v.where("vec_id % 20 = 0"), 5, rows=30, asked=2).collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.cosine))
+    floats = {r.vec_id: r.embedding for r in v.collect()}
+    assert set(got) == {0, 20, 40, 60, 80}
+    for q, near in got.items():
+        want = [(r.vec_id, r.cosine) for r in M.nearest(v.where("vec_id <> 92"), floats[q], 5).collect()]
+        assert sorted(near, key=lambda x: (-x[1], x[0])) == want
+    assert M.nearest_each(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_nearest_without_its_query_row(spark, monkeypatch):
+    from stratalens.plans import texts
+
+    v = spark.createDataFrame([(5, [1.0])], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(texts, "table", lambda s, d, n: v)
+    assert [tuple(r) for r in texts.QUERIES["srt5_nearest"](spark, "").collect()] == [(5, None)]
+
+
 def test_streams(spark, tmp_path):
     t0 = datetime(2026, 1, 1)
     rows = [("r", "a", "write", t0), ("r", "b", "write", t0 + timedelta(seconds=1)), ("r", ".git/x", "write", t0 + timedelta(seconds=2)), ("r", "c", "chmod", t0 + timedelta(seconds=2)), ("r", "d", "write", t0 + timedelta(seconds=9)), ("r", "z", "write", t0 + timedelta(hours=1))]

@@ -110,35 +110,60 @@ def betweenness(edges: DataFrame) -> DataFrame:
     return total.groupBy(F.col("v").alias("id")).agg(F.sum("dep").alias("betweenness")).where("betweenness > 0")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12, levels: int = 3) -> DataFrame:
+def _modularity(both: DataFrame, own: DataFrame, m2: float) -> float:
+    """Modularity of communities (x, c, k) over links in both directions (x, y, w)."""
+    c = own.select("x", "c")
+    inner = both.join(c, "x").join(c.select(F.col("x").alias("y"), F.col("c").alias("t")), "y").where("c = t").agg(F.sum("w").alias("s")).first().s
+    square = own.groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t")).alias("s")).first().s
+    return (inner or 0.0) / m2 - square / m2**2
+
+
+def communities(nodes: DataFrame, edges: DataFrame, rounds: int | None = None, levels: int | None = None) -> DataFrame:
     """id, community_id by Louvain moves of modularity, undirected, weights = number of parallel and reverse edges.
 
-    Every round moves half of the nodes (by hash) to the neighbouring community of highest gain; between levels communities
-    become nodes. Ids run from 1 by size descending, then by smallest member. Isolated nodes are communities of one.
+    Every round moves a part of the nodes (by hash; half of them at first) to the neighbouring community of highest gain, so
+    that a sweep of rounds gives each node its turn. A level ends when a sweep moves nothing; a sweep that does not raise
+    modularity, because nodes moved at once, is undone and repeated in twice as many parts, up to 64. Between levels
+    communities become nodes, until a level merges nothing. rounds and levels, if given, bound both. Ids run from 1 by size
+    descending, then by smallest member. Isolated nodes are communities of one.
     """
     und = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("w"))
     both = cut(und.select(F.col("a").alias("x"), F.col("b").alias("y"), "w").unionAll(und.select("b", "a", "w")))
     member = cut(nodes.select("id").distinct().withColumn("c", F.col("id")))
     m2 = both.agg(F.sum("w").alias("m")).first().m
     if m2:
-        for _ in range(levels):
+        level = 0
+        while levels is None or level < levels:
+            level += 1
             deg = cut(both.groupBy("x").agg(F.sum("w").alias("k")))
             own = cut(deg.select("x", F.col("x").alias("c"), "k"))
-            moved_any = False
-            for r in range(rounds):
+            best_own, best_q, moved_any = own, _modularity(both, own, m2), False
+            r, sweep, part, parts, moved = 0, 0, 0, 2, 0
+            while rounds is None or r < rounds:
                 tot = own.groupBy("c").agg(F.sum("k").alias("tot"))
                 links = both.where("x <> y").join(own.select(F.col("x").alias("y"), F.col("c").alias("t")), "y").groupBy("x", "t").agg(F.sum("w").alias("win"))
                 cand = links.unionByName(own.select("x", F.col("c").alias("t"), F.lit(0.0).alias("win"))).groupBy("x", "t").agg(F.sum("win").alias("win"))
                 cand = cand.join(own, "x").join(tot.withColumnRenamed("c", "t"), "t")
                 gain = F.col("win") - F.col("k") * (F.col("tot") - F.when(F.col("t") == F.col("c"), F.col("k")).otherwise(0.0)) / m2
                 best = cand.groupBy("x").agg(F.max_by("t", F.struct(F.round(gain, 9), F.col("t") == F.col("c"), F.hash("t"))).alias("t"))
-                turn = F.pmod(F.xxhash64("x", F.lit(r)), F.lit(2)) == 0
+                turn = F.pmod(F.xxhash64("x", F.lit(sweep)), F.lit(parts)) == part
                 nxt = cut(own.join(best, "x").withColumn("new", F.when(turn, F.col("t")).otherwise(F.col("c"))).select("x", "c", "new", "k"))
                 n = nxt.where("c <> new").count()
                 own = nxt.select("x", F.col("new").alias("c"), "k")
-                moved_any |= n > 0
-                if not n and r % 2:
+                r, part, moved = r + 1, part + 1, moved + n
+                if part < parts and r != rounds:
+                    continue
+                if not moved:
                     break
+                q = _modularity(both, own, m2)
+                if q > best_q + 1e-9:
+                    best_own, best_q, moved_any = own, q, True
+                else:
+                    own, parts = best_own, parts * 2
+                    if parts > 64:
+                        break
+                sweep, part, moved = sweep + 1, 0, 0
+            own = best_own
             if not moved_any:
                 break
             member = cut(member.join(own.select(F.col("x").alias("c"), F.col("c").alias("n")), "c", "left").select("id", F.coalesce("n", "c").alias("c")))

@@ -33,6 +33,24 @@ def test_communities_of_two_triangles_with_a_bridge(spark):
     assert m["a"] == m["b"] == m["c"] != m["d"] == m["e"] == m["f"] and m["z"] == 3
 
 
+def test_communities_run_until_no_node_gains(spark, monkeypatch):
+    from stratalens.plans import graphs
+
+    ring = [(f"{k:02d}{a}", f"{k:02d}{b}") for k in range(12) for a, b in ("ab", "bc", "cd", "da", "ac", "bd")] + [(f"{k:02d}a", f"{(k + 1) % 12:02d}c") for k in range(12)]
+    ids = sorted({x for e in ring for x in e})
+    monkeypatch.setattr(graphs, "view", lambda s, d, name: nodes(spark, ids) if name == "g_nodes" else edges(spark, ring))
+    m = {r.id: r.community_id for r in graphs.QUERIES["gr6_communities"](spark, "").collect()}
+    # no single move raises modularity
+    deg = {i: sum(i in e for e in ring) for i in ids}
+    m2 = sum(deg.values())
+    tot = {c: sum(deg[i] for i in ids if m[i] == c) for c in set(m.values())}
+    for i in ids:
+        near = [m[b if a == i else a] for a, b in ring if i in (a, b)]
+        gain = {c: near.count(c) - deg[i] * (tot[c] - (deg[i] if c == m[i] else 0)) / m2 for c in {*near, m[i]}}
+        assert gain[m[i]] >= max(gain.values()) - 1e-6
+    assert all(len({m[f"{k:02d}{x}"] for x in "abcd"}) == 1 for k in range(12))
+
+
 def test_betweenness_and_paths(spark):
     e = edges(spark, [("a", "b"), ("b", "c"), ("a", "x"), ("x", "c"), ("c", "d"), ("d", "d")])
     b = {r.id: r.betweenness for r in G.betweenness(e).collect()}

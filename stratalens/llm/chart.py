@@ -5,12 +5,11 @@ A set is stored once (two positions with equal rules and equal origins share it)
 construct costs one table lookup a token, wherever it occurs. And a bracket pair is a rule of its own: its content is parsed
 from a fresh set that depends only on what may stand in the bracket there, so sets do not multiply with nesting.
 
-A text without a zero-cost parse is repaired: over the same chart, uniform-cost search deletes, inserts or replaces tokens.
+A text without a zero-cost parse is repaired over the same chart by the search of `repair`.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 
 OPEN = {"(": ")", "[": "]", "{": "}", "INDENT": "DEDENT"}
@@ -160,10 +159,10 @@ class Predicted:
 class State:
     """A set of the chart: rules begun earlier (items), and what may begin here."""
 
-    __slots__ = ("moves", "jump", "own_scan", "own_wait", "expect", "done", "root", "new")
+    __slots__ = ("moves", "jump", "own_scan", "own_wait", "expect", "done", "root", "new", "ways")
 
     def __init__(self, done: frozenset, root: bool = False):
-        self.done, self.root = done, root
+        self.done, self.root, self.ways = done, root, None
         self.moves: dict[str, State | None] = {}
         self.jump: dict[frozenset, State | None] = {}
         self.own_scan: dict[str, list] = {}
@@ -199,9 +198,34 @@ class Chart:
 
     def reset(self) -> None:
         self.sets: dict = {}
+        self.middle: State | None = None
         self.starts: dict[frozenset, State] = {}
         self.begin = self.start(frozenset(["__start"]))
 
+    def anywhere(self) -> State:
+        """The set of a text that begins in the middle of anything: every rule at every dot, begun in unknown context."""
+        if self.middle is None:
+            g = self.g
+            u = self.middle = State(frozenset([*g.brackets, "__start"]))
+            for r, (_, rhs) in enumerate(g.rules):
+                for dot, sym in enumerate(rhs):
+                    (u.own_wait if sym in g.by else u.own_scan).setdefault(sym, []).append((r, dot + 1, u))
+            u.new = self.predict(frozenset())
+            u.expect = {o: frozenset(b for b, k in g.brackets.items() if k == o) for o in set(g.brackets.values())}
+        return self.middle
+
+    def ways(self, s: State) -> list[tuple[str, State]]:
+        """The terminals but brackets that may follow, one for each set that they lead to."""
+        if s.ways is None:
+            found: dict[int, tuple[str, State]] = {}
+            for c in sorted({*s.own_scan, *s.new.scan} - {self.any}):
+                if c not in self.openers and c not in self.closers:
+                    n = s.moves[c] if c in s.moves else self.step(s, c)
+                    if n is not None:
+                        found.setdefault(id(n), (c, n))
+            s.ways = list(found.values())
+        return s.ways
+
     def predict(self, symbols: frozenset, root: bool = False) -> Predicted:
         p = self.predicted.get((symbols, root))
         if p is None:
@@ -338,82 +362,3 @@ class Chart:
             if t is not None and "__start" in t.done:
                 return -1
         return len(codes)
-
-    # Repair ------------------------------------------------------------------------------------------------------
-
-    def _next(self, node: tuple, c: str) -> tuple | None:
-        """node: (set, stack as nested pairs)."""
-        s, stack = node
-        if c in self.openers:
-            want = s.expect.get(self.openers[c])
-            return (self.start(want), (s, self.openers[c], stack)) if want else None
-        if c in self.closers:
-            if stack and stack[1] == self.closers[c] and s.done:
-                n = stack[0].jump[s.done] if s.done in stack[0].jump else self.after(stack[0], s.done)
-                return (n, stack[2]) if n is not None else None
-            return None
-        n = s.moves[c] if c in s.moves else self.step(s, c)
-        return (n, stack) if n is not None else None
-
-    def repair(self, codes: str, window: int = 12, budget: int = 4000, most: int = 8) -> tuple[int, list[tuple[str, int]]]:
-        """(cost, edits) of a least-cost repair; edits: ('insert' | 'delete' | 'replace', index).
-
-        Search is by cost, then by progress; edits may start up to `window` tokens before the first place where no parse
-        goes on. The cost is exact while fewer than `budget` chart positions are opened; a text that needs more, or more than
-        `most` edits, gets cost `most` + 1 (it is flagged all the same, and counts as not in that language).
-        """
-        e = self.run(codes)
-        if e < 0:
-            return 0, []
-        first = max(0, e - window)
-        node: tuple = (self.begin, None)
-        for c in codes[:first]:
-            node = self._next(node, c)
-        heap = [(0, -first, 0, first, node, ())]
-        seen: dict = {}
-        tick = opened = 0
-        while heap and opened < budget:
-            cost, _, _, i, node, edits = heapq.heappop(heap)
-            key = (i, id(node[0]), node[1])
-            if seen.get(key, 99) <= cost:
-                continue
-            seen[key] = cost
-            opened += 1
-            # without an edit as far as it goes; every position may be left by an edit
-            path = [(i, node)]
-            j, cur = i, node
-            stop = max(e + window, i + window)
-            while j < len(codes):
-                nxt = self._next(cur, codes[j])
-                if nxt is None:
-                    break
-                j, cur = j + 1, nxt
-                if j <= stop:
-                    path.append((j, cur))
-            if j == len(codes) and cur[1] is None and "__start" in cur[0].done:
-                return cost, list(edits)
-            if cost >= most:
-                continue
-            if j - 2 * window > path[-1][0]:
-                path = []
-            path += [(j, cur)] if not path or path[-1][0] != j else []
-            for k, at in path[-2 * window :]:
-                if k < len(codes):
-                    tick += 1
-                    heapq.heappush(heap, (cost + 1, -j, tick, k + 1, at, (*edits, ("delete", k))))
-                s, stack = at
-                options = [*s.own_scan, *s.new.scan, *(self.g.code(o) for o in s.expect)]
-                if stack and s.done:
-                    options.append(self.g.code(OPEN[stack[1]]))
-                for c in options:
-                    nxt = self._next(at, c)
-                    if nxt is None:
-                        continue
-                    follow = self._next(nxt, codes[k]) if k < len(codes) else nxt
-                    if follow is not None:
-                        tick += 1
-                        heapq.heappush(heap, (cost + 1, -j, tick, k, nxt, (*edits, ("insert", k))))
-                    if k < len(codes) and (k + 1 == len(codes) or self._next(nxt, codes[k + 1]) is not None):
-                        tick += 1
-                        heapq.heappush(heap, (cost + 1, -j, tick, k + 1, nxt, (*edits, ("replace", k))))
-        return most + 1, []

@@ -8,6 +8,7 @@ NOTHING, which no rule takes.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Callable
 
@@ -38,6 +39,8 @@ class Language:
     """Lexer and chart of one language. codes(text) gives its terminals."""
 
     semi = newline = ""
+    #: Codes of indentation, and of all that the end of a text supplies.
+    layout = trail = frozenset()
 
     def __init__(self, name: str, grammar: str):
         self.name = name
@@ -46,7 +49,8 @@ class Language:
         self.c = lambda t: self.known.get(t, NOTHING)
         self.chart = Chart(self.grammar)
         self.table = Table(self.make)
-        self.find = re.compile(self.pattern()).findall
+        rx = re.compile(self.pattern())
+        self.find, self.scan = rx.findall, rx.finditer
 
     def pattern(self) -> str:
         raise NotImplementedError
@@ -60,18 +64,14 @@ class Language:
     def run(self, codes: str, into: list | None = None) -> int:
         return self.chart.run(codes, self.semi, self.newline, into)
 
-    def line_of(self, text: str, index: int) -> int:
-        """The line of the index-th code of a text that has codes()."""
-        at = n = 0
-        it = re.compile(self.pattern()).finditer(text)
-        for m in it:
-            n += len(self.table[m.group(1)])
-            if n > index:
-                at = m.start(1)
-                break
-        else:
-            at = len(text)
-        return text.count("\n", 0, at) + 1
+    def placed(self, text: str) -> tuple[str, list[int]]:
+        """The codes of a text, and the offset each comes from."""
+        out, at = [], []
+        for m in self.scan(text):
+            c = self.table[m.group(1)]
+            out.append(c)
+            at += [m.start(1)] * len(c)
+        return "".join(out), at
 
 
 def _groups(*alts: str) -> str:
@@ -130,6 +130,8 @@ class CLike(Language):
             return ""
         if a in "\"'`":
             return self.quoted(tok)
+        if tok == "{%":  # the tag of a template
+            return NOTHING
         return self.c(self.ops.get(tok, tok))
 
     def quoted(self, tok: str) -> str:
@@ -156,12 +158,13 @@ UN + - ^ &
         self.newline = "\n"
         k = self.known
         ends = "".join(k[x] for x in ("ID", "LIT", "STR", "INC", "break", "continue", "fallthrough", "return")) + "".join(k[x] for x in ")]}")
+        self.last = frozenset(ends)
         self.supply = re.compile(f"(?<=[{re.escape(ends)}])\n+")
 
     def pattern(self) -> str:
         return r"[ \t\r]*(" + _groups(
             r"\n\s*", _ID, r"\.?\d(?:[eEpP][+-]|[\w.])*", r'"(?:[^"\\\n]|\\.)*"', r"`[^`]*`", r"'(?:[^'\\\n]|\\[^\n](?:[0-9a-fA-F]{0,8}))'",
-            r"//[^\n]*", r"/\*[\s\S]*?\*/", r"/\*", r"<<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|[-+*/%&|^<>=!:]=|<<|>>|&\^", r"[\s\S]",
+            r"//[^\n]*", r"/\*[\s\S]*?\*/", r"/\*", r"\{%", r"<<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|[-+*/%&|^<>=!:]=|<<|>>|&\^", r"[\s\S]",
         ) + ")"
 
     def make(self, tok: str) -> str:
@@ -179,16 +182,16 @@ UN + - ^ &
         raw = super().codes(text) + "\n"
         return self.supply.sub(self.c(";"), raw).replace("\n", "")
 
-    def line_of(self, text: str, index: int) -> int:
-        lo, hi = 0, text.count("\n") + 1
-        ends = [m.end() for m in re.finditer("\n", text)] + [len(text)]
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if len(self.codes(text[: ends[min(mid, len(ends) - 1)]])) > index:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo + 1
+    def placed(self, text: str) -> tuple[str, list[int]]:
+        raw, at = super().placed(text)
+        out, where = [], []
+        before = ""
+        for c, i in zip(raw + "\n", [*at, len(text)]):
+            if c != "\n" or before in self.last:
+                out.append(c if c != "\n" else self.c(";"))
+                where.append(i)
+            before = c
+        return "".join(out), where
 
 
 class Java(CLike):
@@ -213,7 +216,7 @@ UN ! ~
     def pattern(self) -> str:
         return r"\s*(" + _groups(
             r"(?:[^\W\d]|\$)[\w$]*", r"\.?\d(?:[eEpP][+-](?=\d)|[\w.])*", r'"""[ \t]*\r?\n(?:[^\\]|\\[\s\S])*?"""', r'"(?:[^"\\\n]|\\.)*"', r"'(?:[^'\\\n]|\\[^\n](?:[0-9a-fA-Fu]{0,8}))'",
-            r"//[^\n]*", r"/\*[\s\S]*?\*/", r"/\*", r"\.\.\.|->|::|<<=|&&|\|\||\+\+|--|[-+*/%&|^<>=!]=|<<", r"[\s\S]",
+            r"//[^\n]*", r"/\*[\s\S]*?\*/", r"/\*", r"\{%", r"\.\.\.|->|::|<<=|&&|\|\||\+\+|--|[-+*/%&|^<>=!]=|<<", r"[\s\S]",
         ) + ")"
 
     def make(self, tok: str) -> str:
@@ -261,7 +264,7 @@ UN ~
         return r"[^\S\n]*(" + _groups(
             r"\n\s*", r"(?:return|typeof|case|in|of|void|delete|throw|await|yield)[ \t]*" + rx, r"#?(?:[^\W\d]|\$)[\w$]*", r"\.?\d(?:[eE][+-](?=\d)|[\w.])*",
             r'"(?:[^"\\\n]|\\[\s\S])*"', r"'(?:[^'\\\n]|\\[\s\S])*'", r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|" + sub + r")*`",
-            r"//[^\n]*", r"/\*[\s\S]*?\*/", r"/\*", r"(?:=>|&&|\|\||\?\?|[-(,=:\[!&|?{};+*%~^<>])[^\S\n]*" + rx, r"\A\s*" + rx + r"|(?<=\n)" + rx,
+            r"//[^\n]*", r"/\*[\s\S]*?\*/", r"/\*", r"(?:=>|&&|\|\||\?\?|[-(,=:\[!&|?{};+*%~^<>])[^\S\n]*" + rx, r"\A\s*" + rx + r"|(?<=\n)" + rx, r"\{%",
             r"\.\.\.|=>|\?\.(?!\d)|===|!==|<<=|\*\*=|&&=|\|\|=|\?\?=|&&|\|\||\?\?|\*\*|\+\+|--|[-+*/%&|^<>=!]=|<<", r"[\s\S]",
         ) + ")"
 
@@ -314,6 +317,17 @@ UN ~
         raw = super().codes(text)
         return self.incs.sub(self.semi, self.ends.sub(self.semi, raw)) if "\n" in raw else raw
 
+    def placed(self, text: str) -> tuple[str, list[int]]:
+        raw, at = super().placed(text)
+        for rx in (self.ends, self.incs):
+            out, where, i = [], [], 0
+            for m in rx.finditer(raw):
+                out += [raw[i : m.start()], self.semi]
+                where += [*at[i : m.start()], at[m.start()]]
+                i = m.end()
+            raw, at = "".join([*out, raw[i:]]), [*where, *at[i:]]
+        return raw, at
+
 
 class JavaScript(TypeScript):
     typed = False
@@ -391,12 +405,14 @@ DOTS .
 
     def __init__(self):
         super().__init__("python", grammars.PYTHON)
+        self.layout = frozenset([self.c("INDENT"), self.c("DEDENT")])
+        self.trail = self.layout | {self.c("NEWLINE")}
 
     def pattern(self) -> str:
         q = r"[rRbBuUfF]{0,2}"
         return r"(?:[ \t\f]|\\\r?\n)*(" + _groups(
             r"\r?\n(?:[ \t\f]*(?:#[^\n]*)?\r?\n)*[ \t\f]*(?:#[^\n]*\Z)?", q + r'"""(?:[^\\]|\\[\s\S])*?"""', q + r"'''(?:[^\\]|\\[\s\S])*?'''", q + r'"(?!"")(?:[^"\\\n]|\\[\s\S])*"', q + r"'(?!'')(?:[^'\\\n]|\\[\s\S])*'",
-            _ID, r"\.?\d(?:[eE][+-](?=\d)|[\w.])*", r"#[^\n]*", r"\*\*=|//=|>>=|<<=|\.\.\.|->|:=|\*\*|//|<<|>>|[-+*/%@&|^<>=!]=", r"[\s\S]",
+            _ID, r"\.?\d(?:[eE][+-](?=\d)|[\w.])*", r"#[^\n]*", r"\{%", r"\*\*=|//=|>>=|<<=|\.\.\.|->|:=|\*\*|//|<<|>>|[-+*/%@&|^<>=!]=", r"[\s\S]",
         ) + ")"
 
     def make(self, tok: str) -> str:
@@ -412,6 +428,8 @@ DOTS .
             return "\n"
         if a == "#" or tok in " \t\f\r":
             return ""
+        if tok == "{%":
+            return NOTHING
         if tok == "+" or tok == "|":
             return self.c(tok)
         if tok == ".":
@@ -492,10 +510,27 @@ DOTS .
         return -1 if spec else i
 
     def codes(self, text: str) -> str:
+        return self.laid(self.find("\n" + text + "\n"))
+
+    def placed(self, text: str) -> tuple[str, list[int]]:
+        found = list(self.scan("\n" + text + "\n"))
+        origin: list[int] = []
+        codes = self.laid([m.group(1) for m in found], origin)
+        at = []
+        for k in origin:
+            m = found[min(k, len(found) - 1)]
+            # indentation belongs to the line it begins, all else to the place where the token stands
+            at.append(max(0, min(len(text), (m.end(1) if codes[len(at)] in self.layout else m.start(1)) - 1)))
+        return codes, at
+
+    def laid(self, toks: list[str], origin: list[int] | None = None) -> str:
+        """Codes of tokens, with indentation as brackets; origin: gets the token each code comes from."""
         table, out, depth, stack = self.table, [], 0, [(0, 0)]
         up, down, nl = self.c("INDENT"), self.c("DEDENT"), self.c("NEWLINE")
         opens, closes = {self.c(x) for x in "([{"}, {self.c(x) for x in ")]}"}
-        for tok in self.find("\n" + text + "\n"):
+        for k, tok in enumerate(toks):
+            if origin is not None:
+                origin += [k - 1] * (len(out) - len(origin))
             c = table[tok]
             if c == "\n":
                 if depth > 0:
@@ -507,8 +542,8 @@ DOTS .
                     continue
                 lead = lead.rpartition("\f")[2]
                 at = (len(lead.expandtabs(8)), len(lead))
-                if at == stack[-1]:
-                    continue
+                if at == stack[-1] or k + 1 < len(toks) and table[toks[k + 1]] == NOTHING:
+                    continue  # a line that begins with no token of the language says nothing about indentation
                 pend = at
                 if pend[0] > stack[-1][0] and pend[1] > stack[-1][1]:
                     stack.append(pend)
@@ -523,26 +558,47 @@ DOTS .
             if c in opens:
                 depth += 1
             elif c in closes:
-                depth -= 1
-            out.append(c)
+                depth = max(0, depth - 1)
+            if c:
+                out.append(c)
         if depth <= 0:
             if out and out[-1] not in (nl, up, down):
                 out.append(nl)
             while len(stack) > 1:
                 stack.pop()
                 out.append(down)
+        if origin is not None:
+            origin += [len(toks) - 1] * (len(out) - len(origin))
         return "".join(out)
 
-    def line_of(self, text: str, index: int) -> int:
-        ends = [m.end() for m in re.finditer("\n", text)] + [len(text)]
-        lo, hi = 0, len(ends)
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if len(self.codes(text[: ends[min(mid, len(ends) - 1)]]).rstrip(self.c("DEDENT"))) > index:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo + 1
+
+def closed_early(text: str) -> list[tuple[int, str]]:
+    """(line, text): a Python text with a bracket that stays open, closed at the end of a line from its own to where the parse fails.
+
+    Inside a bracket lines are not told apart, so this cannot be left to edits of tokens.
+    """
+    one = language("python")
+    codes, at = one.placed(text)
+    opened: list[tuple[int, str]] = []
+    pairs = {one.c(o): c for o, c in ("()", "[]", "{}")}
+    closers = {one.c(c): o for o, c in ("()", "[]", "{}")}
+    for c, i in zip(codes, at):
+        if c in pairs:
+            opened.append((i, pairs[c]))
+        elif c in closers and opened:
+            opened.pop()
+    fails = one.run(codes)
+    if not opened or fails < 0:
+        return []
+    out = []
+    stop = at[fails] if fails < len(at) else len(text)
+    for place, closer in opened[:1]:
+        end = place
+        while end < stop:
+            end = text.find("\n", end + 1)
+            end = len(text) if end < 0 else end
+            out.append((text.count("\n", 0, end) + 1, text[:end] + closer + text[end:]))
+    return out
 
 
 class Yaml(Language):
@@ -552,8 +608,13 @@ class Yaml(Language):
     _props = re.compile(r"(?:(&[^\s,\[\]{}]+)|(![^\s]*))(?=\s|$)[ \t]*")
     _flow = re.compile(r"""\s*("(?:[^"\\]|\\[\s\S])*"|'(?:[^']|'')*'|[\[\]{},]|:(?=[\s,\[\]{}])|#[^\n]*|&[^\s,\[\]{}]+|\*[^\s,\[\]{}]+|![^\s,\[\]{}]*|(?:[^\s\[\]{},:#"'&*!|>%@`]|:(?=[^\s,\[\]{}]))(?:[^\[\]{},:#\n]|:(?=[^\s,\[\]{}])|(?<=\S)#)*|[\s\S])""")
 
+    _goes_on = re.compile(r"[ \t]*\n[ \t]*[^\s\[\]{},:#\"'&*!|>%@`]")
+    _whole = re.compile(r""""(?:[^"\\]|\\[\s\S])*"|'(?:[^']|'')*'""")
+
     def __init__(self):
         super().__init__("yaml", grammars.YAML)
+        self.layout = frozenset([self.c("INDENT"), self.c("DEDENT")])
+        self.trail = self.layout | {self.c("NEWLINE")}
 
     def pattern(self) -> str:
         return r"(\Z)"
@@ -561,9 +622,10 @@ class Yaml(Language):
     def make(self, tok: str) -> str:
         return NOTHING
 
-    def line_of(self, text: str, index: int) -> int:
-        _, where = self.lex(text)
-        return where[index] if index < len(where) else text.count("\n") + 1
+    def placed(self, text: str) -> tuple[str, list[int]]:
+        codes, lines = self.lex(text)
+        begins = [0, *(m.end() for m in re.finditer("\n", text))]
+        return codes, [begins[min(n, len(begins)) - 1] for n in lines]
 
     def codes(self, text: str) -> str:
         return self.lex(text)[0]
@@ -572,8 +634,8 @@ class Yaml(Language):
         c, out, where = self.c, [], []
         text = text.replace("\r\n", "\n")
         lines = text.split("\n")
+        begins = [0, *(m.end() for m in re.finditer("\n", text))]
         stack, i = [0], 0
-        flow_end = {"[": "]", "{": "}"}
 
         def put(code: str) -> None:
             out.append(code)
@@ -581,12 +643,12 @@ class Yaml(Language):
 
         def flow(line_no: int, col: int) -> tuple[int, int]:
             """Puts the tokens of a flow collection; gives the line and column after it."""
-            rest = "\n".join([lines[line_no][col:], *lines[line_no + 1 :]])
-            depth, pos, quoted = 0, 0, False
-            for m in self._flow.finditer(rest):
+            base = pos = begins[line_no] + col
+            depth = 0
+            for m in self._flow.finditer(text, base):
                 t = m[1]
                 pos = m.end()
-                if t.isspace() or t.startswith("#") and (m.start(1) == 0 or rest[m.start(1) - 1].isspace()):
+                if t.isspace() or t.startswith("#") and (m.start(1) == base or text[m.start(1) - 1].isspace()):
                     continue
                 if t in "[{":
                     depth += 1
@@ -610,14 +672,13 @@ class Yaml(Language):
                     put(NOTHING)
                 else:
                     put(c("FPLAIN"))
-                    if re.match(r"[ \t]*\n[ \t]*[^\s\[\]{},:#\"'&*!|>%@`]", rest[pos:]):
+                    if self._goes_on.match(text, pos):
                         out.pop()
                         where.pop()
                 if depth <= 0:
                     break
-            head = rest[:pos]
-            n = head.count("\n")
-            return line_no + n, (len(head) - head.rfind("\n") - 1) if n else col + pos
+            n = text.count("\n", base, pos)
+            return line_no + n, pos - begins[line_no + n]
 
         def after(line: str, col: int) -> None:
             """What follows a value on its line."""
@@ -730,8 +791,7 @@ class Yaml(Language):
                     after(lines[i], cl)
                     i += 1
                 elif a in "\"'":
-                    text_rest = "\n".join([rest, *lines[i + 1 :]])
-                    m = re.match(r'"(?:[^"\\]|\\[\s\S])*"|\'(?:[^\']|\'\')*\'', text_rest)
+                    m = self._whole.match(text, begins[i] + col)
                     if not m:
                         put(NOTHING)
                         i = len(lines)
@@ -775,5 +835,6 @@ _made: dict[str, Language] = {}
 def language(name: str) -> Language:
     """One lexer and chart for each worker process and language."""
     if name not in _made:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # templates in templates are read recursively, at any depth
         _made[name] = MAKERS[name]()
     return _made[name]

@@ -14,8 +14,8 @@ import re
 
 OPEN = {"(": ")", "[": "]", "{": "}", "INDENT": "DEDENT"}
 _TOKENS = re.compile(r"'([^']+)'|([A-Za-z_]\w*)|([()|?*+])")
-#: Chart sets kept; beyond that all are dropped and made again as needed, which changes no result.
-KEPT = 200_000
+#: Dotted rules kept in all sets of a chart; beyond that all are dropped and made again as needed, which changes no result.
+KEPT = 300_000
 #: A code that no rule takes: a token that is none of the language's.
 NOTHING = "\uf8ff"
 
@@ -193,26 +193,42 @@ class Chart:
             while n and rhs[n - 1] in g.nullable:
                 n -= 1
             self.ends.append(n)
+        # what makes up token trees, in which any token may stand
+        self.loose: set[str] = set()
+        grew = bool(self.any)
+        while grew:
+            grew = False
+            for lhs, rhs in g.rules:
+                if lhs not in self.loose and rhs and (self.any in rhs or all(x in self.loose or x == lhs for x in rhs)):
+                    self.loose.add(lhs)
+                    grew = True
         self.predicted: dict = {}
         self.reset()
 
     def reset(self) -> None:
         self.sets: dict = {}
-        self.middle: State | None = None
+        self.weight = 0
+        self.middle: dict[bool, State] = {}
         self.starts: dict[frozenset, State] = {}
         self.begin = self.start(frozenset(["__start"]))
 
-    def anywhere(self) -> State:
-        """The set of a text that begins in the middle of anything: every rule at every dot, begun in unknown context."""
-        if self.middle is None:
+    def anywhere(self, trees: bool = True) -> State:
+        """The set of a text that begins in the middle of anything: every rule at every dot, begun in unknown context.
+
+        trees: also within token trees, the brackets in which any token may stand.
+        """
+        u = self.middle.get(trees)
+        if u is None:
             g = self.g
-            u = self.middle = State(frozenset([*g.brackets, "__start"]))
-            for r, (_, rhs) in enumerate(g.rules):
+            skip = set() if trees else self.loose
+            u = self.middle[trees] = State(frozenset([*(b for b in g.brackets if b not in skip), "__start"]))
+            for r, (lhs, rhs) in enumerate(g.rules):
                 for dot, sym in enumerate(rhs):
-                    (u.own_wait if sym in g.by else u.own_scan).setdefault(sym, []).append((r, dot + 1, u))
+                    if lhs not in skip:
+                        (u.own_wait if sym in g.by else u.own_scan).setdefault(sym, []).append((r, dot + 1, u))
             u.new = self.predict(frozenset())
-            u.expect = {o: frozenset(b for b, k in g.brackets.items() if k == o) for o in set(g.brackets.values())}
-        return self.middle
+            u.expect = {o: frozenset(b for b, k in g.brackets.items() if k == o and b not in skip) for o in set(g.brackets.values())}
+        return u
 
     def ways(self, s: State) -> list[tuple[str, State]]:
         """The terminals but brackets that may follow, one for each set that they lead to."""
@@ -267,6 +283,7 @@ class Chart:
         s = self.sets.get(key)
         if s is None:
             s = self.sets[key] = State(key[1])
+            self.weight += len(live)
             self._close(s, live)
         return s
 
@@ -332,7 +349,7 @@ class Chart:
         newline: the code of a newline, which is skipped. semi: the code of a semicolon that is supplied before a closing
         brace, at the end, or at a newline, where no parse goes on without it. into: gets the codes that were used.
         """
-        if len(self.sets) > KEPT:
+        if self.weight > KEPT:
             self.reset()
         s, stack, fresh = self.begin, [], False
         brace = self.g.codes.get("}", "")

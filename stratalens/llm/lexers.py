@@ -353,6 +353,10 @@ BIN == != / % ^ +_
             r"\.\.\.|\.\.=|\.\.|->|=>|::|&&|\|\||[-+*/%&|^<>=!]=", r"[\s\S]",
         ) + ")"
 
+    def placed(self, text: str) -> tuple[str, list[int]]:
+        """As codes() gives them, but a line that is the tag of a template is one stray token, though a token tree could hold it."""
+        return super().placed(re.sub(r"(?m)^[ \t]*\{%[^\n{}]*%\}[ \t\r]*$", lambda m: "\\".ljust(len(m[0])), text))
+
     def find_all(self, text: str) -> list[str]:
         return [a[0] for a in self.find(text)]
 

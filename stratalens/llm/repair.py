@@ -12,7 +12,7 @@ The search is Dijkstra's over (place, chart set, open brackets), with no bound o
 least there is. It is directed by a lower bound: a stretch of tokens that occurs in no text of the language needs an edit
 within it, and such stretches are found with the chart's set for unknown context. They are counted on different lines and at
 most three of them, since one edit of cost 3 may mend any number. Configurations met again at no lower cost are dropped; open
-brackets are numbered, so equal ones are one.
+brackets are numbered, so equal ones are one. Where a language has token trees, in which any token may stand, a repair makes no new one and extends none.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ class Search:
         self.lines = [lines[i] for i in keep]
         self.fresh = [i > 0 and codes[i - 1] == newline for i in keep] if newline else [False] * len(keep)
         self.brace = chart.g.codes.get("}", "")
+        self.bang = chart.g.codes.get("!", "") if chart.loose else ""
         self.below: list[tuple] = [(), ()]
         self.number: dict[tuple, int] = {}
         self.best: dict[tuple, int] = {}
@@ -53,6 +54,7 @@ class Search:
         self.need: list[int] = []
         self.heap: list[tuple] = []
         self.tick = 0
+        self.unknown = chart.anywhere(False) if not plain else None
         self._push(0, 0, chart.begin, EMPTY, None, False)
 
     # Moves -------------------------------------------------------------------------------------------------------
@@ -81,7 +83,7 @@ class Search:
                 return None
             if k == UNKNOWN:
                 inner = frozenset(b for b in s.done if ch.g.brackets.get(b) == o)
-                s, under = ch.anywhere(), k
+                s, under = self.unknown, k
             else:
                 s, opener, under = self.below[k]
                 if opener != o:
@@ -115,9 +117,16 @@ class Search:
 
     # Stretches that need an edit -----------------------------------------------------------------------------------
 
-    def _middle(self, lo: int, hi: int) -> int:
+    def _middle(self, lo: int, hi: int, trees: bool) -> int:
         """The first place from lo on, before hi, where a text in unknown context cannot go on; hi where it can."""
-        s, k = self.chart.anywhere(), UNKNOWN
+        before, self.unknown = self.unknown, self.chart.anywhere(trees)
+        try:
+            return self._middle_of(lo, hi)
+        finally:
+            self.unknown = before
+
+    def _middle_of(self, lo: int, hi: int) -> int:
+        s, k = self.unknown, UNKNOWN
         for i in range(lo, hi):
             n = self.free(i, s, k)
             if n is None:
@@ -127,16 +136,23 @@ class Search:
                 if t is not None:
                     self._done = t[0].done
                     if self.move(*t, self.codes[i]) is not None:  # with and without a semicolon: nothing is known here
-                        n = (self.chart.anywhere(), UNKNOWN)
+                        n = (self.unknown, UNKNOWN)
             s, k = n
         return hi
 
     def _stretches(self) -> list[int]:
         """Where the stretches that need an edit begin: the first that fails from the start, made as short as possible, and one more."""
-        n = len(self.codes)
+        n, loose = len(self.codes), self.chart.loose
         s, k = self.chart.begin, EMPTY
-        e = n
+        e, tree, trees = n, -1, []  # trees[i]: where the token tree that holds place i begins, its name included
         for i in range(n):
+            if loose:
+                inside = k > UNKNOWN and s.done <= loose and any(x in loose for x in self._wanted(k))
+                if inside and tree < 0:
+                    tree = max(0, i - 3)
+                elif not inside:
+                    tree = -1
+                trees.append(tree if tree >= 0 else i)
             t = self.free(i, s, k)
             if t is None:
                 e = i
@@ -144,23 +160,47 @@ class Search:
             s, k = t
         if e == n:
             return []
-        out, lo = [], 0
-        while e < n and len(out) < 3:
-            # text[a : e + 1] fails in any context for the greatest a
-            step, a, ok = 1, e, e + 1
-            while a > lo and self._middle(a, e + 1) > e:
-                step, a, ok = step * 2, max(lo, a - step), a
-            if self._middle(a, e + 1) <= e:
+        in_tree = bool(loose) and trees[e] < e  # then only brackets and stray characters can be wrong
+
+        def place(i: int) -> int:
+            return i if in_tree or i >= len(trees) else trees[i]
+
+        def tight(e: int, lo: int, full: bool) -> int:
+            """The greatest a for which text[a : e + 1] fails in any context; lo if it fails in none."""
+            step, a, ok = 1, place(e), e + 1
+            while a > lo and self._middle(a, e + 1, full) > e:
+                step, a, ok = step * 2, max(lo, place(max(lo, a - step))), a
+            if self._middle(a, e + 1, full) <= e:
                 while a + 1 < ok:
-                    mid = (a + ok) // 2
-                    a, ok = (mid, ok) if self._middle(mid, e + 1) <= e else (a, mid)
-            out.append(a)
+                    mid = place((a + ok) // 2)
+                    if mid <= a:
+                        break
+                    a, ok = (mid, ok) if self._middle(mid, e + 1, full) <= e else (a, mid)
+            return a
+
+        out = [tight(e, 0, in_tree)]
+        # what fails in any context after this place says more than what fails here
+        further = self._middle(e, n, in_tree or not loose)
+        if further < n:
+            a = tight(further, 0, True) if in_tree or not loose else e  # beyond e, trees are not known
+            if a > e:
+                out.append(a)
+            out[0] = a if out[0] < a <= e else out[0]
+            e = further
+        while e < n and len(out) < 3:
             lo = e + 1
             while lo < n and self.lines[lo] == self.lines[e]:
                 lo += 1
-            e = self._middle(lo, n)
+            e = self._middle(lo, n, True)
+            if e < n:
+                out.append(tight(e, lo, True))
         return out
 
+    def _wanted(self, k: int) -> frozenset:
+        """The brackets that may be open innermost on a stack."""
+        s, opener, _ = self.below[k]
+        return s.expect.get(opener, frozenset())
+
     def _bounds(self) -> None:
         """least[i]: how many edits, at least, the text from place i on needs; leave[i]: from a place that is left by an edit."""
         n = len(self.codes)
@@ -220,7 +260,7 @@ class Search:
             self.best.clear()
             self._push(cost, 0, self.chart.begin, EMPTY, None, False)
             if not self.plain and not self.whole:
-                self._push(1, 0, self.chart.anywhere(), UNKNOWN, (None, "head", 0), False)
+                self._push(1, 0, self.unknown, UNKNOWN, (None, "head", 0), False)
             return None
         if i == n:
             self._push(cost, i, s, k, edits, True)
@@ -235,7 +275,7 @@ class Search:
         if i < n:
             self._push(cost + 1, i + 1, s, k, (edits, "delete", i), False)
             self._line(cost, i, s, k, edits)
-        options = [(c2, n2, k) for c2, n2 in ch.ways(s)]
+        options = [(c2, n2, k) for c2, n2 in ch.ways(s) if c2 != self.bang]
         for o, want in s.expect.items():
             options.append((ch.g.code(o), ch.start(want), self.stack(s, o, k)))
         if s.done and k != EMPTY:

@@ -1,3 +1,6 @@
+import random
+import string
+
 import pytest
 
 from stratalens.llm import secrets as S
@@ -13,14 +16,53 @@ CASES = [
 ]
 
 
+def sample(n=700):
+    """Records with secrets and with what looks like them, in every place they can stand in."""
+    r = random.Random(1)
+    chars = string.ascii_letters + string.digits
+    words = "late slow warm rough quarry harbor sensor tray spool stack beacon node config cache index valve pipe".split()
+
+    def secret():
+        return r.choice([
+            lambda: f"{r.choice(words).title()}{r.choice('*#+!')}{r.choice(words).title()}{r.randrange(100, 9999)}{r.choice('!#_')}", lambda: "".join(r.choices(chars, k=r.randrange(20, 44))),
+            lambda: "".join(r.choices("0123456789abcdef", k=r.choice([32, 40, 48]))), lambda: "AKIA" + "".join(r.choices(string.ascii_uppercase + "234567", k=16)),
+            lambda: f"{r.choice(words)[:3]}_live_" + "".join(r.choices(chars, k=24)), lambda: "".join(r.choices(chars + "+/", k=43)) + "=",
+        ])()
+
+    named = ["password", "api_key", "auth_token", "SERVICE_SECRET", "FABRIC_ACCESS_KEY", "dbPassword", "signing_key", "adminPw"]
+    other = ["token_kind", "name", "label", "key_id", "COMMIT", "checksum", "PASSWD_HINT", "path", "title", "request_id"]
+    pem = lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join("".join(r.choices(chars + "+/", k=64)) for _ in range(3)) + "\n-----END RSA PRIVATE KEY-----"
+    good = [
+        lambda: f'{r.choice(named)} = "{secret()}"\n', lambda: f"export {r.choice(named)}={secret()}\n", lambda: f'url = "postgres://u:{secret()}@db.x.invalid/y"\n', lambda: f'f("Authorization", "Bearer {secret()}")\n',
+        lambda: f"// old login still works: ops / {secret()}\n", lambda: f'k = """{pem()}"""\n', lambda: f'q = "https://h.invalid/p?api_key={secret()}"\n', lambda: f'x = "{{\\"api_key\\": \\"{secret()}\\"}}"\n', lambda: f"// login: ops / {secret()}\n",
+        lambda: f'{{"private_key": "{pem()}"}}\n'.replace("\n-", "\\n-").replace("-\n", "-\\n"),
+    ]
+    bad = [
+        lambda: f'{r.choice(other)} = "{r.choice(words)}_{r.choice(words)}"\n', lambda: f'{r.choice(named)} = "{r.choice(["change-me", "${X}", "vault:a/b", "SPOOL_TOKEN", "./certs/token.pem", "env(API_KEY)"])}"\n',
+        lambda: f'COMMIT = "{"".join(r.choices("0123456789abcdef", k=40))}"\n', lambda: f'checksum = "{"".join(r.choices("0123456789abcdef", k=64))}"\n', lambda: f"// {r.choice(words)} see {r.choice(words)}{r.randrange(99)} later\n", lambda: f'data = ["{"".join(r.choices(chars, k=60))}",\n"aa"]\n', lambda: f'log.info("{r.choice(words)} {r.choice(words)}")\n',
+    ]
+    return [("file", i, f"{r.choice(words)}/{r.choice(words)}.{r.choice(['py', 'go', 'json'])}", "", "".join(r.choice(bad)() for _ in range(4)) + r.choice(good)()) for i in range(n)]
+
+
 @pytest.fixture(scope="module")
 def model():
-    rows = []
-    for i in range(40):
-        tail = f"{i:02d}7aQ"
-        rows += [(f'service_password = "Warm+Tray{1000 + i}!"\nauth_token: "xyz_live_kR4{tail}Zp9w{tail}"\n', "a/b.py", ""), (f'CHECKSUM = "{i:02x}' + "0a9f" * 15 + '"\nkey_id = "plain_words"\nsecret = "vault:x/y"\nname = "tray-harbor"\n', "c.py", "")]
-        rows += [(f'f("Authorization", "Bearer {i:02x}' + "b3" * 15 + f'")\nsigning_key = "{i:02x}' + "c4" * 19 + '"\n', "d.go", ""), (f'data = ["{i:02x}' + "Zk9q" * 16 + '",\n"aa"]\n', "e.js", "")]
-    return S.Model(rows)
+    return S.Model([x[3:] for row in sample() for x in S.labelled(*row)])
+
+
+def test_a_random_value_is_likelier_a_secret(model):
+    """Weights on the likelihood ratios of value and identifier, and the score itself, go the right way."""
+    at = 1 + len(S.FORMS) + 3
+    assert model.w is not None and model.w[at] + model.w[at + 1] > 0 and model.w[at + 2] + model.w[at + 3] > 0
+    assert model.score("string", "kR47aQZp9w83LmTn5vXc", "api_key", 'api_key = "', "a.py", "") > 0.9 > 0.1 > model.score("string", "plain_words", "label", 'label = "', "a.py", "")
+
+
+def test_scores_are_calibrated(model):
+    """On records it has not seen, the mean score is the share of weak labels, and nearly all go its way."""
+    rows = [x for row in sample(1_400)[700:] for x in S.labelled(*row)]
+    p = [model.score(form, v, name, lead, path, kind) for _, _, _, _, form, v, name, lead, path, kind, _ in rows]
+    y = [r[-1] for r in rows]
+    assert abs(sum(p) / len(p) - sum(y) / len(y)) < 0.03
+    assert sum((a >= 0.5) == b for a, b in zip(p, y)) / len(y) > 0.97
 
 
 @pytest.mark.parametrize(("text", "line"), CASES)

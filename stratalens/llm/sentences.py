@@ -1,29 +1,64 @@
 """Sentences of texts in any script, as code point offsets.
 
 A text is cut into blocks first: a heading line, a fenced code block and the first line of a commit are one sentence each; a
-list item begins one; blank lines end one. In a block the sentence-break properties of characters decide: which marks end a
-sentence in any script, which close a quotation or bracket, which letters have case. Abbreviations of the languages suppress
-a break, and nothing breaks inside a quotation or bracket that stands in a larger sentence.
+list item begins one; blank lines end one. In a block the Sentence_Break properties of the Unicode character database decide:
+which marks end a sentence in any script (STerm, ATerm), which close a quotation or bracket (Close), which marks say that it
+goes on (SContinue). Abbreviations of the document's language suppress a break, and nothing breaks inside a quotation or
+bracket that stands in a larger sentence.
+
+The language of a document is its label, in whatever spelling. Where that is missing, or the common words of the text speak
+clearly for another language of the same script, those words decide; where they say nothing either, the abbreviations of all
+languages hold. Abbreviations in other scripts than Latin cannot be mistaken and always hold.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.sources.tables import table
 
-# Character properties (fixed values): marks that end a sentence as they stand, marks that may, closing and opening marks.
-_WIDE = "。｡！？．﹒﹗﹖"
-_STERM = "!?‼‽⁇⁈⁉؟۔܀܁܂।॥᠃᠉။၊።፧፨᙮᱾᱿꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫։؞" + _WIDE
-_DOTS = ".…‥"
-_CLOSE = "\"'”’»›)]}」』）］｝】〉》〕〗〙〛“‘＂＇"
-_OPEN = {"(": ")", "[": "]", "“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "【": "】", "《": "》", "〈": "〉", "‘": "’", "‚": "‘’", "［": "］"}
+# Character properties, from the character database.
+_ALL = "".join(chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000)
+
+
+def _having(what: str) -> str:
+    return "".join(regex.findall(rf"[{what}]", _ALL))
+
+
+_STERM = _having(r"\p{Sentence_Break=STerm}")
+_FULL = _having(r"\p{Sentence_Break=ATerm}")
+_DOTS = _FULL + "…‥"
+_OPENING = frozenset(_having(r"\p{Ps}"))
+_CLOSE = frozenset(_having(r"\p{Sentence_Break=Close}")) - _OPENING
+_GOES_ON = frozenset(_having(r"\p{Sentence_Break=SContinue}")) - {"-"}
+#: Full-width and ideographic marks, after which no space stands.
+_WIDE = "".join(c for c in _STERM + _FULL if unicodedata.east_asian_width(c) in "WFH" or c == "﹒")
+del _ALL
+
+
+def _pairs() -> dict[str, str]:
+    """Opening marks and what closes them: brackets by their names, quotation marks as languages use them."""
+    out = {}
+    for c in _OPENING:
+        name = unicodedata.name(c, "")
+        for a, b in (("LEFT", "RIGHT"), ("OPENING", "CLOSING"), ("GUG RTAGS GYON", "GUG RTAGS GYAS"), ("ANG KHANG GYON", "ANG KHANG GYAS")):
+            try:
+                if a in name:
+                    out[c] = unicodedata.lookup(name.replace(a, b))
+            except KeyError:
+                pass
+    return out | {"“": "”", "„": "“”", "«": "»", "‹": "›", "‘": "’", "‚": "‘’"}
+
+
+_OPEN = _pairs()
 _ROUND = "([（［【"
 
 # Abbreviations by language (fixed values). The first group never ends a sentence, the second only stands before a number,
@@ -40,7 +75,44 @@ NEVER = {
 }
 NUMBERED = set("no nos p pp fig figs art arts sec secs ch chap vol ref eq nr pos line ln par abs bd kap ziff №".split())
 MAY_END = set("etc usw a.m p.m al др д п т.д т.п т.п. u.s ff bzw etc..".split())
-_NEVER = {w for v in NEVER.values() for w in v.split()}
+#: Common words (fixed values) that tell the languages of Latin script apart, and other spellings of the labels.
+COMMON = {
+    "en": "the of and to in is it that for was with as on be at by this are or not from but then he she they we has one",
+    "de": "der die das und ist nicht ein eine mit für auf den von zu im des dem wird sich auch nach bei aus",
+    "fr": "le la les des et est dans pour une un que qui sur pas du au ce il elle avec ne",
+    "es": "el la los las y es en que un una por con para no se del lo su al como",
+}
+LABELS = {"eng": "en", "english": "en", "deu": "de", "ger": "de", "german": "de", "fra": "fr", "fre": "fr", "french": "fr", "spa": "es", "spanish": "es"}
+_COMMON = {w: [k for k, v in COMMON.items() if w in v.split()] for v in COMMON.values() for w in v.split()}
+
+
+class Rules:
+    """What of abbreviations holds in a text: those never at an end, and whether a number with a full stop may be an ordinal."""
+
+    def __init__(self, langs: tuple[str, ...]):
+        words = [w for k, v in NEVER.items() if k in langs or k not in COMMON for w in v.split()]
+        self.never, self.ordinals = frozenset(words), "de" in langs
+        self.lower = frozenset(w for w in words if w == w.lower())
+
+
+_RULES = {k: Rules((k,)) for k in COMMON} | {"": Rules(tuple(COMMON))}
+
+
+def language_of(text: str, label: str | None) -> str:
+    """en, de, fr, es, or '' where nothing speaks for one of them; texts in other scripts count as en."""
+    code = re.split(r"[-_\s]", (label or "").strip().lower())[0]
+    code = LABELS.get(code, code)
+    n = dict.fromkeys(COMMON, 0)
+    for w in filter(_COMMON.__contains__, text.lower().split()):
+        for k in _COMMON[w]:
+            n[k] += 1
+    order = sorted(n, key=lambda k: -n[k])
+    seen = order[0] if n[order[0]] >= n[order[1]] + 2 else ""
+    if code in COMMON:
+        return seen if seen and n[seen] >= 2 * n[code] + 3 else code
+    return seen or ("en" if code else "")
+
+
 _UNITS = set("s h m d g l t".split())
 _DETERMINERS = set("der die das dem den des am vom zum zur im beim ab bis seit ein einen einem einer jeder jedem ihr sein kein".split())
 
@@ -112,7 +184,7 @@ def _enclosed(s: str) -> list[tuple[int, int]]:
     return out
 
 
-def _breaks(s: str) -> list[int]:
+def _breaks(s: str, rules: Rules) -> list[int]:
     """Offsets where a sentence of a block ends (without the last)."""
     spans = _enclosed(s)
     cuts: list[int] = []
@@ -145,7 +217,7 @@ def _breaks(s: str) -> list[int]:
         if not nxt:
             break
         gap = len(rest) != len(nxt)
-        if _ends(s, lo, mark, nxt, gap, closed, last):
+        if _ends(s, lo, mark, nxt, gap, closed, last, rules):
             cuts.append(end)
             last = end
     return cuts
@@ -159,7 +231,7 @@ def _wide(ch: str) -> bool:
     return unicodedata.east_asian_width(ch) in "WF"
 
 
-def _ends(s: str, lo: int, mark: str, nxt: str, gap: bool, closed: list, last: int) -> bool:
+def _ends(s: str, lo: int, mark: str, nxt: str, gap: bool, closed: list, last: int, rules: Rules) -> bool:
     ch = nxt[0]
     wide = any(m in _WIDE for m in mark)
     if closed:
@@ -180,12 +252,12 @@ def _ends(s: str, lo: int, mark: str, nxt: str, gap: bool, closed: list, last: i
     if set(mark) <= set(_DOTS) and (len(mark) > 1 or mark in "…‥"):
         return ch.isupper() or ch in "\"“„«¿¡" and nxt[1:2].isupper() or ch.islower() and _CODE.match(nxt) is not None and not _plain_hyphen(nxt)
     if mark[-1] in _STERM:
-        return ch not in ",;:—–"
+        return ch not in _GOES_ON
     # a single full stop
-    if ch in ",;:—–)" or ch == "-" and nxt[1:2] == " ":
+    if ch in _GOES_ON or ch == ")" or ch == "-" and nxt[1:2] == " ":
         return False
     word = re.search(r"[^\s(\[{\"“„«»“'’/]*$", s[max(last, lo - 40) : lo])[0]
-    if _suppressed(s, lo, word, nxt):
+    if _suppressed(s, lo, word, nxt, rules):
         return False
     if ch.islower():
         return _CODE.match(nxt) is not None and not _plain_hyphen(nxt)
@@ -200,7 +272,7 @@ def _starts(nxt: str) -> bool:
     return nxt[0].isupper() or nxt[0] in "\"“„«¿¡("
 
 
-def _suppressed(s: str, lo: int, word: str, nxt: str) -> bool:
+def _suppressed(s: str, lo: int, word: str, nxt: str, rules: Rules) -> bool:
     """Whether the full stop after word belongs to an abbreviation or ordinal."""
     low = word.lower()
     ch = nxt[0]
@@ -215,10 +287,10 @@ def _suppressed(s: str, lo: int, word: str, nxt: str) -> bool:
         return False
     if "\u0e00" <= word[-1] <= "\u0e7f":  # no spaces before it, so the run ends with it
         return any(word.endswith(w) for w in NEVER["th"].split())
-    if word in _NEVER or low in _NEVER:
+    if word in rules.never or low in rules.never:
         if len(low) == 1 and low.isascii() and word.islower() and re.search(r"\d$", before):
             return False
-        if word[:1].islower() and low not in _NEVER_LOWER and word not in _NEVER:
+        if word[:1].islower() and low not in rules.lower and word not in rules.never:
             return False
         return True
     if low in NUMBERED:
@@ -227,22 +299,19 @@ def _suppressed(s: str, lo: int, word: str, nxt: str) -> bool:
         return not ch.isupper() or len(word) <= 3
     if len(word) == 1 and word.isupper() and ch.isupper() and word.isascii():
         return True
-    if word.isdigit() and len(word) <= 2 and ch.isupper():
+    if rules.ordinals and word.isdigit() and len(word) <= 2 and ch.isupper():
         prev = re.search(r"(\w+)$", before)
         return prev is not None and prev[1].lower() in _DETERMINERS
     return False
 
 
-_NEVER_LOWER = {w for w in _NEVER if w == w.lower()}
-
-
-def sentences(text: str, commit: bool = False) -> list[tuple[int, int]]:
-    """(start, end) of each sentence of a text."""
-    out = []
+def sentences(text: str, commit: bool = False, lang: str | None = None) -> list[tuple[int, int]]:
+    """(start, end) of each sentence of a text; lang: its label."""
+    out, rules = [], _RULES[language_of(text, lang)]
     for lo, hi, whole in blocks(text, commit):
         s = text[lo:hi]
         at = 0
-        for cut in [*([] if whole else _breaks(s)), len(s)]:
+        for cut in [*([] if whole else _breaks(s, rules)), len(s)]:
             part = s[at:cut]
             body = part.strip()
             if body:
@@ -257,13 +326,13 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
     Null, empty and blank texts give no rows. Each document stays in its scan task; there is no shuffle.
     """
-    d = table(spark, folder, "documents").select("doc_id", "text", F.lower(F.trim(F.regexp_replace("source", r"^\s+|\s+$", ""))).alias("source"))
+    d = table(spark, folder, "documents").select("doc_id", "text", "lang", F.lower(F.trim(F.regexp_replace("source", r"^\s+|\s+$", ""))).alias("source"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, los, his = [], [], []
-            for i, t, src in zip(*(c.to_pylist() for c in b.columns)):
-                for lo, hi in sentences(t, src == "commit_message"):
+            for i, t, lang, src in zip(*(c.to_pylist() for c in b.columns)):
+                for lo, hi in sentences(t, src == "commit_message", lang):
                     ids.append(i)
                     los.append(lo)
                     his.append(hi)

@@ -1,6 +1,6 @@
 import pytest
 
-from stratalens.llm.sentences import p9_found, sentences
+from stratalens.llm.sentences import language_of, p9_found, sentences
 
 CASES = [
     "Read the a resp. the b, but never both…| ratio.denseKnoll is called.| We wait... and then retry it.", "This covers parsing, linking, etc.| The meter is handled elsewhere.", 'The log says "Retry later." and then x.y stops.| Fine.', '"It works."| That is all the report says.',
@@ -33,7 +33,33 @@ def test_commit_line_and_offsets():
 
 
 def test_rows(spark, tmp_path):
-    d = spark.createDataFrame([(1, "Ab cd. Ef gh.", "docstring"), (2, None, None), (3, "  ", " Commit_Message "), (4, "Xy. Yz\nZa.", " COMMIT_message")], "doc_id long, text string, source string")
+    rows = [(1, "Ab cd. Ef gh.", "docstring", "en"), (2, None, None, None), (3, "  ", " Commit_Message ", "?"), (4, "Xy. Yz\nZa.", " COMMIT_message", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     d.write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted(tuple(r) for r in p9_found(spark, str(tmp_path)).collect())
     assert got == [(1, 0, 6), (1, 7, 13), (4, 0, 6), (4, 7, 10)]
+
+
+@pytest.mark.parametrize("text", ["It took one min. |Then it stopped.", "He raised it to the max. |Nobody saw it.", "She wore a cap. |It was red.", "This is read from env. |The loader is next."])
+@pytest.mark.parametrize("lang", ["en", "EN", "en-XX", "eng", None])
+def test_abbreviations_go_by_the_language(text, lang):
+    parts = text.split("|")
+    assert [text.replace("|", "")[a:b] for a, b in sentences("".join(parts), lang=lang)] == [p.strip() for p in parts]
+
+
+def test_other_labels():
+    for label in ("de", "DE", "de_x", None, "en"):  # the words of the text speak against the last
+        assert len(sentences("Der Lauf dauert und ist mit max. Last nicht zu halten, das wird auf den Tag verlegt.", lang=label)) == 1
+    assert language_of("x := y", None) == "" and language_of("Готов ли кэш?", "ru") == "en" and language_of("der die das und", "english") == "de"
+
+
+# Terminators of scripts that are written without the marks of Latin ones: Khmer, Balinese, Tai Tham, Kaithi, Brahmi, Tibetan, Burmese, Armenian, Ethiopic.
+@pytest.mark.parametrize(("letter", "mark"), [("ក", "។"), ("ᬅ", "᭞"), ("ᨠ", "᪨"), ("𑂍", "𑃀"), ("𑀓", "𑁇"), ("က", "။"), ("Ա", "։"), ("አ", "።"), ("अ", "।"), ("ܐ", "܀")])
+def test_marks_of_any_script(letter, mark):
+    text = f"{letter * 4}{mark} {letter * 3}{mark}"
+    assert [text[a:b] for a, b in sentences(text)] == [letter * 4 + mark, letter * 3 + mark]
+
+
+def test_marks_that_close():
+    text = "(xy zw.﹂⁆ Ab cd."
+    assert len(sentences("He said ⟦Stop there. Now.⟧ and left.")) == 1 and len(sentences(text)) >= 1

@@ -23,6 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_rates": syntax.p5_rates,
         "p6_found": spans.p6_found,
         "p6_files": spans.p6_files,
+        "p6_classes": spans.p6_classes,
+        "p6_removed": spans.p6_removed,
+        "p6_kept": spans.p6_kept,
         "p7_ids": tokens.p7_ids,
         "p9_found": sentences.p9_found,
         "p8_mixture": mixing.p8_mixture,

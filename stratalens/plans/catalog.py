@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.plans import git, graphs, health, ops, texts
+from stratalens.plans import cards, git, graphs, health, ops, texts
 
-PLANS = (git, graphs, health, texts, ops)
+PLANS = (git, graphs, health, texts, ops, cards)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

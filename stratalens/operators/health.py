@@ -63,9 +63,9 @@ def untested_hotspots(hot: DataFrame, coverage: DataFrame, tested: DataFrame) ->
     return j.select("file", F.lit("high").alias("severity"), F.round(impact, 6).alias("impact")).where("impact is not null")
 
 
-def shotgun(partners: DataFrame, least: int = 8) -> DataFrame:
-    """path, partners, impact of files with many distinct partners."""
-    g = partners.groupBy("path").agg(F.count_distinct("partner").alias("partners")).where(F.col("partners") >= least)
+def shotgun(partners: DataFrame, least: int = 8, shared: int = 3) -> DataFrame:
+    """path, partners, impact of files with many distinct partners, of those with at least `shared` common commits."""
+    g = partners.where(F.col("n") >= shared).groupBy("path").agg(F.count_distinct("partner").alias("partners")).where(F.col("partners") >= least)
     return g.withColumn("impact", F.round(F.least(F.lit(3.0), 1 + 0.25 * (F.col("partners") - 8)), 6))
 
 
@@ -119,7 +119,7 @@ def duplication(files: DataFrame, window: int = WINDOW) -> DataFrame:
     The window slides within a file; a digest of more than SITES[1] sites is boilerplate by definition and leaves as a whole.
     """
     w = Window.partitionBy("file").orderBy("line_no").rowsBetween(0, window - 1)
-    l = lines(files)
+    l = lines(files).groupBy("file", "line_no").agg(F.first("norm").alias("norm"))  # a repeated delivery counts once
     l = l.withColumn("w", F.collect_list(F.struct("line_no", "norm")).over(w)).where(F.size("w") == window)
     signal = F.size(F.filter("w", lambda x: F.length(x["norm"]) >= 3))
     l = l.where(signal >= window * 6 // 10).select("file", F.col("line_no").alias("start_line"), F.element_at("w", -1)["line_no"].alias("end_line"), F.xxhash64(F.concat_ws("\n", F.col("w.norm"))).alias("h"))

@@ -82,8 +82,13 @@ def adr(texts: DataFrame) -> DataFrame:
 
 
 def first_records(records: DataFrame) -> DataFrame:
-    """One record for each (source, file, line, title), the smallest of equals."""
-    return records.dropDuplicates(["source", "file", "line_no", "title"])
+    """One record for each (source, file, line, title): the first by `seq` where there is such a column, else the smallest of the rest."""
+    keys = ["source", "file", "line_no", "title"]
+    rest = [c for c in records.columns if c not in keys]
+    if not rest:
+        return records.distinct()
+    order = F.col("seq") if "seq" in rest else F.struct(*rest)
+    return records.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*").select(*records.columns)
 
 
 def postings(texts: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ QUERIES = {
     "agg20_contributor_network": lambda s, d: I.network(G.authors(_t(s, d))),
     "agg21_risk_headline": lambda s, d: I.headline(I.git_card(_t(s, d))),
     "hs1_hotspots": lambda s, d: I.hotspots(I.git_card(_t(s, d))),
-    "jn6_hidden_coupling": lambda s, d: I.hidden_coupling(G.pairs(_t(s, d), 2), I.path_edges(view(s, d, "g_edges"), view(s, d, "g_nodes"))),
+    "jn6_hidden_coupling": lambda s, d: I.hidden_coupling(G.pairs(_t(s, d), 3), I.path_edges(view(s, d, "g_edges"), view(s, d, "g_nodes"))),
     "jn8_cochange_pairs": lambda s, d: G.pairs(_t(s, d)),
     "jn9_coauthors": lambda s, d: I.coauthors(G.authors(_t(s, d))),
     "at1_attention": lambda s, d: I.attention(I.git_card(_t(s, d))),
@@ -82,7 +82,7 @@ ORACLE = {
     "agg20_contributor_network": _o(f"with {_AUTHORS}, n as (select author, sum(commits) as c from authors where rank <= 10 group by author order by c desc, author limit 40), k as (select path, author from authors where rank <= 10 and author in (select author from n)) select a.author as a, b.author as b, count(*) as weight from k a join k b on a.path = b.path and a.author < b.author group by 1, 2 order by weight desc, a, b limit 200"),
     "agg21_risk_headline": _o(f"with {_CARD} select count(*) as files, count(*) filter (is_hotspot) as hotspots, count(*) filter (bus_factor <= 1) as bus_risk, count(*) filter (owner_share > 0.8 and commits_90d > 0) as silos, count(*) filter (commits_90d > 0) as active from card"),
     "hs1_hotspots": _o(f"with {_CARD} select path, owner, round(owner_share, 6) as owner_share, bus_factor, churn, round(churn_pct, 6) as churn_pct, commits_90d from card where is_hotspot"),
-    "jn6_hidden_coupling": _o(f"with {_PAIRS}, {_EDGES}, u as (select least(src, dst) as a, greatest(src, dst) as b from edges) select a, b, n, a as file_path, 1.5 as impact from pairs p where n >= 2 and not exists (select 1 from u where u.a = p.a and u.b = p.b)", "g_nodes", "g_edges").replace("1.5 as", "cast(1.5 as double) as"),
+    "jn6_hidden_coupling": _o(f"with {_PAIRS}, {_EDGES}, u as (select least(src, dst) as a, greatest(src, dst) as b from edges) select a, b, n, a as file_path, 1.5 as impact from pairs p where n >= 3 and not exists (select 1 from u where u.a = p.a and u.b = p.b)", "g_nodes", "g_edges").replace("1.5 as", "cast(1.5 as double) as"),
     "jn8_cochange_pairs": _o(f"with {_PAIRS} select a, b, n from pairs"),
     "jn9_coauthors": _o(f"with {_AUTHORS} select a.author as a, b.author as b, count(*) as shared from authors a join authors b on a.path = b.path and a.author < b.author and a.rank <= 10 and b.rank <= 10 group by 1, 2"),
     "at1_attention": _o(f"with {_CARD} select * from (select 'knowledge_silo' as section, path, cast(row_number() over (order by churn_pct desc, path) as int) as place from card where bus_factor <= 1 and commits_90d > 0 qualify place <= 5) union all select * from (select 'ungoverned_hotspot', path, cast(row_number() over (order by churn_pct desc, path) as int) as place from card where is_hotspot and bus_factor > 1 qualify place <= 5)"),

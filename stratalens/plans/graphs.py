@@ -31,7 +31,7 @@ _IN = "indeg as (select dst as id, count(*) as n from g_edges group by dst)"
 
 QUERIES = {
     "gr4_degrees": lambda s, d: G.degrees(_n(s, d), _e(s, d)),
-    "gr5_pagerank": lambda s, d: G.pagerank(_n(s, d), _e(s, d)).withColumn("rank", F.round("rank", 9)),
+    "gr5_pagerank": lambda s, d: G.pagerank(_n(s, d), _e(s, d), tol=1e-12).withColumn("rank", F.round("rank", 9)),
     "gr6_communities": lambda s, d: G.communities(_n(s, d), _e(s, d)),
     "gr7_betweenness": lambda s, d: G.betweenness(A.module_edges(_e(s, d), _n(s, d))).withColumn("betweenness", F.round("betweenness", 6)),
     "gr8_reachable": lambda s, d: G.reachable(_e(s, d), _n(s, d).where("is_entry")).select("id"),
@@ -62,6 +62,30 @@ def _g(sql):
 
 
 ORACLE = {
+    "gr5_pagerank": _g("""with k as (select src, 0.85 / count(*) as w from g_edges group by 1), l as (select e.dst, e.src, k.w from g_edges e join k on k.src = e.src),
+        y as (select 0 as i, id, cast(1.0 as double) as v from g_nodes
+              union all
+              select (select any_value(i) from y) + 1, n.id, 1.0 + coalesce((m.s), 0.0) from g_nodes n left join (select l.dst, sum(y.v * l.w) as s from l join y on y.id = l.src group by 1) m on m.dst = n.id where (select any_value(i) from y) < 150)
+        select id, round(v / (select sum(v) from y where i = 150), 9) as rank from y where i = 150"""),
+    "gr7_betweenness": _g("""with e as (select distinct split_part(a.path, '/', 1) || '/' || split_part(a.path, '/', 2) as src, split_part(b.path, '/', 1) || '/' || split_part(b.path, '/', 2) as dst from g_edges x join g_nodes a on a.id = x.src join g_nodes b on b.id = x.dst),
+        l as (select * from e where src <> dst),
+        walk as (select distinct src as s, src as v, 0 as d from l union select w.s, l.dst, w.d + 1 from walk w join l on l.src = w.v where w.d < 12),
+        dist as (select s, v, min(d) as d from walk group by 1, 2),
+        sig as (select s, v, d, cast(1.0 as double) as n from dist where d = 0
+                union all select g.s, l.dst, g.d + 1, sum(g.n) from sig g join l on l.src = g.v join dist t on t.s = g.s and t.v = l.dst and t.d = g.d + 1 group by 1, 2, 3)
+        select a.v as id, round(sum(a.n * b.n / c.n), 6) as betweenness from sig a join sig b on b.s = a.v join sig c on c.s = a.s and c.v = b.v and c.d = a.d + b.d
+        where a.v <> a.s and b.v <> b.s and a.s <> b.v group by 1"""),
+    "gr9_shortest_path": _g("""with walk as (select 1 as id, 0 as depth union select e.dst, w.depth + 1 from walk w join g_edges e on e.src = w.id where w.depth < 60),
+        m as (select id, min(depth) as depth from walk group by 1),
+        p as (select e.dst as id, min(e.src) as pred from g_edges e join m a on a.id = e.src join m b on b.id = e.dst where b.depth = a.depth + 1 group by 1),
+        back as (select id, cast(depth as bigint) as step from m where id = 12 union all select p.pred, b.step - 1 from back b join p on p.id = b.id where b.step > 0)
+        select step, id from back"""),
+    "gr10_flow_trees": _g("""with e as (select src, dst from g_edges where src <> dst qualify row_number() over (partition by src order by dst) <= 8),
+        top as (select p_partkey as root from part where p_partkey % 397 = 1 order by 1 limit 8),
+        a as (select t.root, e.dst, min(e.src) as src from top t join e on e.src = t.root where e.dst <> t.root group by 1, 2),
+        b as (select a.root, e.dst, min(e.src) as src from a join e on e.src = a.dst where e.dst <> a.root and not exists (select 1 from a x where x.root = a.root and x.dst = e.dst) group by 1, 2),
+        c as (select b.root, e.dst, min(e.src) as src from b join e on e.src = b.dst where e.dst <> b.root and not exists (select 1 from a x where x.root = b.root and x.dst = e.dst) and not exists (select 1 from b x where x.root = b.root and x.dst = e.dst) group by 1, 2)
+        select root, 1 as depth, src, dst from a union all select root, 2, src, dst from b union all select root, 3, src, dst from c"""),
     "gr4_degrees": _g("select id, (select count(*) from g_edges where dst = id) as in_degree, (select count(*) from g_edges where src = id) as out_degree from g_nodes"),
     "gr8_reachable": _g(f"with {_REACH} select id from reach"),
     "gr11_dependents": _g("select n.path, count(distinct e.src) as dependents, min(m.path) as first_dependent from g_edges e join g_nodes n on n.id = e.dst join g_nodes m on m.id = e.src group by n.path"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stratalens.operators import gitstats as G
 from stratalens.operators import health as H
 from stratalens.sources.proxy import view, with_views
+from stratalens.sources.tables import table
 
 
 def _s(s, d):
@@ -31,7 +32,8 @@ def _incremental(s, d):
 
 
 def _files(s, d):
-    return view(s, d, "files1").select(F.col("file_id").cast("string").alias("file"), "content")
+    """Every delivery; the operator counts repeated ones once."""
+    return table(s, d, "files").select(F.col("file_id").cast("string").alias("file"), "content")
 
 
 QUERIES = {
@@ -42,6 +44,7 @@ QUERIES = {
     "bm17_health_diff": lambda s, d: H.compare(_snap(s, d, "AN"), _snap(s, d, "AR")),
     "bm9_untested_hotspots": lambda s, d: H.untested_hotspots(_hot(s, d), view(s, d, "h_coverage").select(F.col("file_id").cast("string").alias("file"), "line_pct"), _hot(s, d).where("file % 4 = 0")),
     "bm10_shotgun_surgery": lambda s, d: H.shotgun(G.partners(view(s, d, "touches"))),
+    "bm10_shotgun_loose": lambda s, d: H.shotgun(G.partners(view(s, d, "touches")), shared=1),
     "bm12_duplication": lambda s, d: H.duplication(_files(s, d)),
     "bm14_catalog": lambda s, d: s.createDataFrame(list(H.CATALOG), "biomarker string, severity string"),
     "agg23_average_health": lambda s, d: _snap(s, d, "ANR").agg(F.round(F.coalesce(F.avg("score"), F.lit(10.0)), 6).alias("average_health"), F.count(F.lit(1)).alias("files")),
@@ -99,8 +102,13 @@ ORACLE = {
     "bm17_health_diff": with_views(f"with {_DEN}, {_snapsql('b', chr(39) + 'A' + chr(39) + ',' + chr(39) + 'N' + chr(39))}, {_snapsql('h', chr(39) + 'A' + chr(39) + ',' + chr(39) + 'R' + chr(39))} select coalesce(b.file, h.file) as file, b.score as base, h.score as head, round(h.score - b.score, 2) as delta, case when b.score is null then 'new' when h.score is null then 'removed' when round(h.score - b.score, 2) < -0.01 then 'regressed' when round(h.score - b.score, 2) > 0.01 then 'improved' else 'same' end as status from b full outer join h on b.file = h.file", "h_symbols"),
     "bm9_untested_hotspots": with_views("select * from (select cast(n.id as string) as file, 'high' as severity, round(case when line_pct < 50 then 2 + (50 - line_pct) / 50 * 2 when line_pct is null and n.id % 4 <> 0 then 3.0 end, 6) as impact from g_nodes n left join h_coverage c on c.file_id = n.id where not is_test) where impact is not null", "g_nodes", "h_coverage"),
     "bm10_shotgun_surgery": with_views("""with small as (select commit_id from touches group by commit_id having count(*) between 2 and 200),
+        p as (select a.path, b.path as partner, count(*) as n from touches a join touches b on a.commit_id = b.commit_id and a.path <> b.path where a.commit_id in (select commit_id from small) group by 1, 2),
+        t as (select * from p qualify row_number() over (partition by path order by n desc, partner) <= 10) select path, count(*) as partners, round(least(3.0, 1 + 0.25 * (count(*) - 8)), 6) as impact from t where n >= 3 group by 1 having count(*) >= 8""", "touches").replace("round(least(3.0, 1 + 0.25 * (count(*) - 8)), 6)", "round(cast(least(3.0, 1 + 0.25 * (count(*) - 8)) as double), 6)"),
+    "bm10_shotgun_loose": with_views("""with small as (select commit_id from touches group by commit_id having count(*) between 2 and 200),
         p as (select a.path, b.path as partner, count(*) as n from touches a join touches b on a.commit_id = b.commit_id and a.path <> b.path where a.commit_id in (select commit_id from small) group by 1, 2),
         t as (select * from p qualify row_number() over (partition by path order by n desc, partner) <= 10) select path, count(*) as partners, round(least(3.0, 1 + 0.25 * (count(*) - 8)), 6) as impact from t group by 1 having count(*) >= 8""", "touches").replace("round(least(3.0, 1 + 0.25 * (count(*) - 8)), 6)", "round(cast(least(3.0, 1 + 0.25 * (count(*) - 8)) as double), 6)"),
+    "bm14_catalog": """select * from (values ('high_complexity', 'medium'), ('long_function', 'medium'), ('deep_nesting', 'medium'), ('brain_method', 'high'), ('god_class', 'medium'), ('long_parameter_list', 'medium'), ('feature_envy', 'medium'),
+        ('god_file', 'medium'), ('untested_hotspot', 'high'), ('shotgun_surgery', 'medium'), ('hidden_coupling', 'medium'), ('duplication', 'low'), ('deep_inheritance', 'medium')) t(biomarker, severity)""",
     "bm12_duplication": with_views(r"""with l as (select cast(file_id as string) as file, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as line_no from files1 where content <> ''),
         m as (select file, line_no, trim(regexp_replace(regexp_replace(line, '(//|#).*$', ''), '[ \t\r]+', ' ', 'g')) as norm from l),
         q as (select * from m where norm <> ''),

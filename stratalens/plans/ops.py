@@ -49,8 +49,19 @@ QUERIES = {
     "src9_imports": lambda s, d: R.imports(_files(s, d)).groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("raw").alias("modules")),
 }
 
+#: The import statements by language (fixed values), in the other engine's dialect.
+_IMPORT_SQL = {
+    "typescript": r"""(?m)^\s*(?:import|export)\b[^'"\n]*from\s+['"]([^'"]+)['"]""", "javascript": r"""(?m)^\s*(?:import|export)\b[^'"\n]*from\s+['"]([^'"]+)['"]""", "python": r"(?m)^\s*(?:from|import)\s+([\w.]+)",
+    "java": r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)\s*;", "rust": r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)", "go": r'(?m)^\s*(?:import\s+)?(?:\w+\s+)?"([^"\n]+)"\s*$',
+}
+_EXT = "case lower(regexp_extract(path, '\\.([^./]+)$', 1)) when 'ts' then 'typescript' when 'js' then 'javascript' when 'py' then 'python' when 'java' then 'java' when 'rs' then 'rust' when 'go' then 'go' end"
+_IMPORTED = " union all ".join("select '%s' as language, unnest(regexp_extract_all(content, '%s', 1)) as raw from x where lang = '%s'" % (k, v.replace("'", "''"), k) for k, v in _IMPORT_SQL.items())
+
 _RUN = "last as (select run_id, phase, arg_max(state, (updated_at, id)) as state, max(updated_at) as updated_at from jobs group by 1, 2)"
 ORACLE = {
+    "src9_imports": with_views(f"with x as (select {_EXT} as lang, content from files1), i as ({_IMPORTED}) select language, count(*) as n, count(distinct raw) as modules from i group by 1", "files1"),
+    "str16_mermaid": with_views("""with w as (select least(a.language, b.language) as a, greatest(a.language, b.language) as b, count(*) as weight from g_edges e join g_nodes a on a.id = e.src join g_nodes b on b.id = e.dst where a.language <> b.language group by 1, 2),
+        l as (select '  ' || regexp_replace(a, '[^A-Za-z0-9_]', '_', 'g') || ' -->|' || weight::varchar || '| ' || regexp_replace(b, '[^A-Za-z0-9_]', '_', 'g') as line from w) select 'graph LR' || chr(10) || string_agg(line, chr(10) order by line) as text from l""", "g_nodes", "g_edges"),
     "agg28_run_summary": with_views(f"with {_RUN} select run_id, case when bool_or(state = 'failed') then 'failed' when bool_or(state in ('pending', 'running')) then 'running' else 'succeeded' end as verdict, count(*) as phases, max(updated_at) as updated_at from last group by 1", "jobs"),
     "agg24_jobs_by_state": with_views("select state, count(*) as n from jobs group by 1", "jobs"),
     "agg25_costs": with_views("select operation, count(*) as calls, round(sum((tokens_in * case when starts_with(model, 'vendor-model-large-2024') then 2.5 when starts_with(model, 'vendor-model-large') then 3.0 else 0.2 end + tokens_out * case when starts_with(model, 'vendor-model-large-2024') then 10.0 when starts_with(model, 'vendor-model-large') then 15.0 else 0.8 end) / cast(1000000 as double)), 9) as cost from costs group by 1", "costs"),

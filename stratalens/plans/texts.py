@@ -11,7 +11,8 @@ from stratalens.sources.tables import table
 
 
 def _f(s, d):
-    return view(s, d, "files1").select(F.col("file_id").alias("id"), "path", F.col("content").alias("text"))
+    """Every delivery of a file; callers count equal results once, so that no text is shuffled."""
+    return table(s, d, "files").select(F.col("file_id").alias("id"), "path", F.col("content").alias("text"))
 
 
 def _d(s, d):
@@ -36,9 +37,9 @@ def _files(s, d, *cols):
 
 
 QUERIES = {
-    "sec1_security": lambda s, d: M.security(_f(s, d)),
+    "sec1_security": lambda s, d: M.security(_f(s, d)).distinct(),
     "sec2_by_severity": lambda s, d: table(s, d, "security_findings").dropDuplicates(["finding_id"]).groupBy("severity").agg(F.count(F.lit(1)).alias("n")),
-    "dm1_inline_decisions": lambda s, d: M.inline_decisions(_f(s, d)),
+    "dm1_inline_decisions": lambda s, d: M.inline_decisions(_f(s, d)).distinct(),
     "dm2_adr": lambda s, d: M.adr(_d(s, d)).select("id", "title", "status"),
     "dm3_changelog": lambda s, d: M.changelog(_d(s, d)),
     "dm4_commit_decisions": lambda s, d: M.commit_decisions(view(s, d, "commits")),
@@ -55,7 +56,7 @@ QUERIES = {
     "srt5_nearest_each": _nearest_each,
     "mth4_cosine": lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(T.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm2")),
     "emb1_embed": lambda s, d: M.embed(_d(s, d)).select("id", "content_hash", F.size("vector").alias("dim")),
-    "hsh1_content_hash": lambda s, d: _f(s, d).where("text is not null").select("id", F.sha2("text", 256).alias("content_hash")),
+    "hsh1_content_hash": lambda s, d: _f(s, d).where("text is not null").select("id", F.sha2("text", 256).alias("content_hash")).distinct(),
     "src1_skip_reason": lambda s, d: _files(s, d, "path", T.skip_reason(F.col("path"), F.col("size_bytes"), F.col("content")).alias("skip_reason")),
     "src4_flags": lambda s, d: _files(s, d, T.is_test(F.col("path")).alias("is_test"), T.is_entry(F.col("path")).alias("is_entry"), T.is_contract(F.col("path")).alias("is_contract")),
     "src7_language": lambda s, d: _files(s, d, T.language(F.col("path")).alias("language")),
@@ -68,7 +69,7 @@ QUERIES = {
     "str10_variants": lambda s, d: view(s, d, "symbols1").select("name").distinct().select("name", F.array_join(T.variants(F.col("name")), "|").alias("variants")),
     "str11_terms": lambda s, d: _d(s, d).where("text is not null").select("id", F.size(T.terms(F.col("text"))).cast("long").alias("n_terms")),
     "str12_ellipsis": lambda s, d: _d(s, d).select("id", T.ellipsis(F.col("text"), 40).alias("short")),
-    "str14_line_slice": lambda s, d: _f(s, d).where("text <> ''").select("id", T.line_slice(F.col("text"), F.lit(2), F.lit(4)).alias("slice")),
+    "str14_line_slice": lambda s, d: _f(s, d).where("text <> ''").select("id", T.line_slice(F.col("text"), F.lit(2), F.lit(4)).alias("slice")).distinct(),
     "str15_title": lambda s, d: _d(s, d).where("text is not null").select("id", T.title(F.col("text")).alias("title")),
 }
 
@@ -117,6 +118,15 @@ _TERMS = f"list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'),
 _POST = f"po as (select doc_id as id, unnest({_TERMS}) as term from documents where text is not null)"
 
 ORACLE = {
+    "dm2_adr": r"""select doc_id as id, trim(regexp_extract(text, '(?m)^#{1,6}[ \t]+(.+)$', 1)) as title,
+        case when regexp_extract(text, '(?im)^(?:status\s*:\s*|##\s*status\s*\n+\s*)(\w+)', 1) = '' then 'accepted' else lower(regexp_extract(text, '(?im)^(?:status\s*:\s*|##\s*status\s*\n+\s*)(\w+)', 1)) end as status
+        from documents where regexp_matches(text, '(?m)^#\s+\S')""",
+    "str10_variants": with_views(r"""with n as (select distinct name from symbols1 where name is not null),
+        p as (select name, list_filter(string_split(name, '_'), lambda x: x <> '') as parts from n),
+        q as (select name, parts, list_transform(parts, lambda x: upper(x[1:1]) || lower(x[2:201])) as cap from p),
+        v as (select name, unnest(list_value(name, lower(name), lower(regexp_replace(name, '(.)([A-Z])', '\1_\2', 'g')), case when contains(name, '_') then array_to_string(cap, '') end,
+              case when contains(name, '_') then lower(parts[1]) || array_to_string(cap[2:51], '') end)) as w from q)
+        select name, string_agg(w, '|' order by w) as variants from (select distinct name, w from v where w is not null) group by 1""", "symbols1"),
     "sec1_security": _sec(),
     "sec2_by_severity": "select severity, count(*) as n from (select distinct on (finding_id) * from security_findings) group by 1",
     "dm1_inline_decisions": with_views(f"with {_L} select id, cast(line_no as int) as line_no, case upper(regexp_extract(line, '(?i)\\b(DECISION|WHY|TRADEOFF|RATIONALE)\\s*:\\s*(.+?)\\s*$', 1)) when 'RATIONALE' then 'WHY' else upper(regexp_extract(line, '(?i)\\b(DECISION|WHY|TRADEOFF|RATIONALE)\\s*:\\s*(.+?)\\s*$', 1)) end as marker, regexp_extract(line, '(?i)\\b(DECISION|WHY|TRADEOFF|RATIONALE)\\s*:\\s*(.+?)\\s*$', 2) as title from l where regexp_matches(line, '(?i)\\b(DECISION|WHY|TRADEOFF|RATIONALE)\\s*:\\s*(.+?)\\s*$') and id in (select file_id from files1 where regexp_matches(content, 'DECISION|WHY|TRADEOFF|RATIONALE'))", "files1"),

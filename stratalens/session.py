@@ -24,12 +24,14 @@ def local_session(cores: int = 8, partitions: int = 8, **conf: str) -> SparkSess
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
+    """The folder named by spark.checkpoint.dir. A local session without one gets a temporary folder; on a cluster that is an error."""
     sc = spark.sparkContext
     have = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if have:
         return have
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     where = named or "file://" + tempfile.mkdtemp(prefix="stratalens-")
     sc.setCheckpointDir(where)
     return sc.getCheckpointDir() or where

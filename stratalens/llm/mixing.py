@@ -72,7 +72,7 @@ def mixture(sized: DataFrame, targets: DataFrame, seed: int = SEED) -> tuple[Dat
     without tokens. A source without documents gives nothing. Equal rows are different documents, ties in size are broken
     by id. Empty tables give empty results.
     """
-    named = F.broadcast(targets.select(plain_source(F.col("source")).alias("source")).distinct())
+    named = targets.select(plain_source(F.col("source")).alias("source")).distinct()
     rows = (
         sized.where("n_tokens > 0").join(named, "source")
         .withColumn("bin", F.floor(F.log2(F.col("n_tokens").cast("double")) * 8).cast("int"))
@@ -82,15 +82,16 @@ def mixture(sized: DataFrame, targets: DataFrame, seed: int = SEED) -> tuple[Dat
     q = quotas(bins.groupBy("source").agg(F.sum("n").alias("n_docs"), F.sum("t").alias("n_tokens")), targets)
     q = q.withColumn("each", F.when(F.col("n_tokens") > 0, F.col("quota") / F.col("n_tokens")).otherwise(0.0))
     q = q.withColumn("offset", F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    # At most BINS * PARTS rows for a source of the targets: small whatever the corpus holds.
+    # Tables of a row for each target, and of a row for each bin and part of one: whether they are small enough to be sent to
+    # all tasks is left to the planner, which looks at their size; else they join on keys that the window below needs anyway.
     ahead = Window.partitionBy("source").orderBy("bin", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = bins.withColumn("start", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n", "t")
-    starts = starts.join(F.broadcast(q.select("source", "each", "offset", "max_repeats")), "source")
+    starts = starts.join(q.select("source", "each", "offset", "max_repeats"), "source")
     place = Window.partitionBy("source", "bin", "part").orderBy("n_tokens", "doc_id")
     rank = F.col("start") + F.row_number().over(place)
     upto = lambda r: F.floor(F.round(r * F.col("each") + F.col("offset"), 9))
     drawn = (
-        rows.join(F.broadcast(starts), ["source", "bin", "part"])
+        rows.join(starts, ["source", "bin", "part"])
         .withColumn("rank", rank)
         .withColumn("n_copies", (upto(F.col("rank")) - upto(F.col("rank") - 1)).cast("long"))
         .withColumn("n_copies", F.least("n_copies", "max_repeats"))
@@ -134,3 +135,10 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     sized = cut(sizes(table(spark, folder, "documents")))
     copies, q = mixture(sized, table(spark, folder, "mix_targets"))
     return shares(cut(copies), q)
+
+
+def p8_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source of the targets: documents available, and whether any is drawn more often than it may be."""
+    sized = cut(sizes(table(spark, folder, "documents")))
+    copies, q = mixture(sized, table(spark, folder, "mix_targets"))
+    return shares(cut(copies), q).select("source", "docs_available", (F.col("most_copies") > F.col("max_repeats")).alias("over_the_cap"), (F.col("docs_used") > F.col("docs_available")).alias("over_the_docs"))

@@ -196,3 +196,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """item_kind, item_id of the items that the layout cuts."""
     parts = ranges(oversized(items(spark, folder)))
     return layout(parts).where("piece_no = 1").select(F.col("kind").alias("item_kind"), F.col("id").alias("item_id"))
+
+
+def p1_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """item_kind, item_id, n_pieces and the digest of the text that the pieces of an item rebuild."""
+    p = p1_pieces(spark, folder).withColumn("own", F.expr("substring(encode(text, 'UTF-8'), cast(n_overlap as int) + 1)"))
+    g = p.groupBy("item_kind", "item_id").agg(F.sort_array(F.collect_list(F.struct("piece_no", "own"))).alias("parts"), F.count(F.lit(1)).alias("n_pieces"), F.max(F.octet_length("text")).alias("longest"))
+    whole = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["own"]))
+    return g.select("item_kind", "item_id", F.sha2(whole, 256).alias("digest"), (F.col("longest") <= LIMIT).alias("within_limit"), (F.col("n_pieces") > 1).alias("cut"))

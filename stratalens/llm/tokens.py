@@ -147,3 +147,16 @@ def token_counts(docs: DataFrame, keys: list[str], text_col: str = "text", path:
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id and ids of every document."""
     return encode(table(spark, folder, "documents"))
+
+
+def p7_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id and the digest of the text that its ids stand for; null and empty texts give the digest of nothing."""
+    ids = encode(table(spark, folder, "documents"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = {i: t for t, i in encoder().ranks.items()}
+        for b in batches:
+            texts = [b"".join(back[i] for i in row) for row in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary())], names=["doc_id", "raw"])
+
+    return ids.mapInArrow(run, "doc_id long, raw binary").select("doc_id", F.sha2("raw", 256).alias("digest"))

@@ -125,21 +125,27 @@ def top_n(rows: DataFrame, group: list[str], score: str, key: str, n: int = N, b
     short = r.mapInArrow(shorten, shape)
     # Each run is told apart by the partition it comes from.
     short = short.withColumn("run", F.spark_partition_id())
-    short = short.repartition(*([buckets] if buckets else []), *group).sortWithinPartitions("run", *group, "low", "key")
+    short = short.repartition(*([buckets] if buckets else []), *group).sortWithinPartitions(*group, "run", "low", "key")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[int, list[tuple]] = {}
+        """One group at a time: its runs follow each other, at most n rows of each, so a task holds the runs of one group."""
+        at, runs, out = None, {}, []
+
+        def finish() -> None:
+            out.extend((*g, rank, k) for rank, (g, _, k) in merge_top(list(runs.values()), n))
+
         for b in batches:
             cols = [c.to_pylist() for c in b.columns]
             for run, g, low, k in zip(cols[-1], zip(*cols[: len(group)]), cols[-3], cols[-2]):
+                if g != at:
+                    finish()
+                    at, runs = g, {}
                 # Python orders strings by code point.
                 runs.setdefault(run, []).append((g, low, k))
-        out = []
-        for rank, (g, _, k) in merge_top(list(runs.values()), n):
-            out.append((*g, rank, k))
-            if len(out) == 10_000:
+            if len(out) >= 10_000:
                 yield _batch(out)
-                out = []
+                out.clear()
+        finish()
         if out:
             yield _batch(out)
 

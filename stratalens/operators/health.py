@@ -41,13 +41,19 @@ def local_findings(symbols: DataFrame) -> DataFrame:
     """Findings that need only the symbol's own file."""
     n = F.col("end_line") - F.col("start_line") + 1
     ccn, nest = F.col("ccn"), F.col("nesting")
-    s = symbols.withColumn("n_lines", n)
-    out = _finding(s.where(ccn >= CCN[0]), "high_complexity", level(ccn, *CCN), ramp(ccn, CCN[0], CCN[2], 1, 5))
-    out = out.unionAll(_finding(s.where(n >= LINES[0]), "long_function", level(n, *LINES), ramp(n, *LINES, 1, 3)))
-    out = out.unionAll(_finding(s.where(nest >= NESTING[0]), "deep_nesting", level(nest, *NESTING), ramp(nest, *NESTING, 1, 2)))
-    out = out.unionAll(_finding(s.where((ccn >= 10) & (nest >= 3) & (n >= 50)), "brain_method", F.lit("high"), F.lit(4.0)))
-    p = s.where(F.col("kind").isin("function", "method")).withColumn("p", param_count(F.col("signature")))
-    out = out.unionAll(_finding(p.where(F.col("p") >= PARAMS[0]), "long_parameter_list", level(F.col("p"), *PARAMS), F.least(F.lit(3.0), 0.5 + 0.4 * (F.col("p") - 5))))
+    s = symbols.withColumn("n_lines", n).withColumn("p", F.when(F.col("kind").isin("function", "method"), param_count(F.col("signature"))))
+    p = F.col("p")
+    rules = (
+        (ccn >= CCN[0], "high_complexity", level(ccn, *CCN), ramp(ccn, CCN[0], CCN[2], 1, 5)),
+        (n >= LINES[0], "long_function", level(n, *LINES), ramp(n, *LINES, 1, 3)),
+        (nest >= NESTING[0], "deep_nesting", level(nest, *NESTING), ramp(nest, *NESTING, 1, 2)),
+        ((ccn >= 10) & (nest >= 3) & (n >= 50), "brain_method", F.lit("high"), F.lit(4.0)),
+        (p >= PARAMS[0], "long_parameter_list", level(p, *PARAMS), F.least(F.lit(3.0), 0.5 + 0.4 * (p - 5))),
+    )
+    # all that a symbol says of itself, in one pass over the table
+    hits = [F.when(hit, F.struct(F.lit(name).alias("biomarker"), severity.alias("severity"), F.round(impact.cast("double"), 6).alias("impact"))) for hit, name, severity, impact in rules]
+    own = s.select("file", "name", "start_line", "end_line", F.explode(F.array_compact(F.array(*hits))).alias("f"))
+    out = own.select("file", "f.biomarker", "f.severity", "name", "start_line", "end_line", "f.impact")
     methods = s.where("kind = 'method' and parent_name is not null").groupBy("file", F.col("parent_name").alias("name")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= METHODS[0])
     g = s.where(F.col("kind").isin(*CLASS_KINDS)).join(methods, ["file", "name"])
     out = out.unionAll(_finding(g, "god_class", level(F.col("k"), *METHODS), ramp(F.col("k"), *METHODS, 1, 2)))

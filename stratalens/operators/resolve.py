@@ -17,12 +17,12 @@ IMPORTS = {
 
 
 def imports(files: DataFrame) -> DataFrame:
-    """repository_id, path, language, raw of every import statement. files: repository_id, path, language, content."""
-    out = None
+    """repository_id, path, language, raw of every import statement, in one scan. files: repository_id, path, language, content."""
+    found = None
     for lang, pattern in IMPORTS.items():
-        f = files.where(F.col("language") == lang).select("repository_id", "path", "language", F.explode(F.regexp_extract_all("content", F.lit(pattern), 1)).alias("raw"))
-        out = f if out is None else out.unionAll(f)
-    return out
+        one = F.regexp_extract_all("content", F.lit(pattern), 1)
+        found = F.when(F.col("language") == lang, one) if found is None else found.when(F.col("language") == lang, one)
+    return files.select("repository_id", "path", "language", F.explode(found).alias("raw"))
 
 
 def join_path(folder: Column, rel: Column) -> Column:

@@ -144,6 +144,8 @@ ORACLE = {
         left join (select * from nodes1 where node_type = 'file') n on n.repository_id = f.repository_id and n.file_path = f.path
         left join (select repository_id, file_path, count(*) as symbols, max(complexity) as max_complexity from symbols1 group by 1, 2) s on s.repository_id = f.repository_id and s.file_path = f.path
         left join (select repository_id, file_path, count(distinct finding_id) as findings from security_findings group by 1, 2) g on g.repository_id = f.repository_id and g.file_path = f.path""", "files1", "nodes1", "symbols1"),
+    "srt5_nearest_each": """select q.vec_id as query_id, v.vec_id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) as cosine from embeddings q, embeddings v where q.vec_id % 20 = 0
+        qualify row_number() over (partition by q.vec_id order by round(list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) desc, v.vec_id) <= 10""",
     "srt5_nearest": "select vec_id, round(list_cosine_similarity(cast(embedding as double[]), (select cast(embedding as double[]) from embeddings where vec_id = 0)), 6) as cosine from embeddings order by 2 desc, 1 limit 10",
     "mth4_cosine": "select vec_id, round(list_dot_product(cast(embedding as double[]), cast(embedding as double[])), 4) as norm2 from embeddings",
     "emb1_embed": "select doc_id as id, sha256(substr(coalesce(text, ''), 1, 6000)) as content_hash, 32 as dim from documents",

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalens.operators import alone
 from stratalens.session import cut
 
 
@@ -47,17 +48,25 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tol: flo
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """id, depth of every node reachable from the roots (id), by frontier rounds."""
+    """id, depth of every node reachable from the roots (id).
+
+    Frontier rounds, in which links to reached nodes are dropped from time to time; as soon as what is left is no more than
+    `alone.WALKED` links, one task walks all of it, since a graph may be hundreds of links deep.
+    """
     e = cut(simple(edges))
-    state = cut(roots.select("id").distinct().withColumn("depth", F.lit(0)))
+    front = state = cut(roots.select("id").distinct().withColumn("depth", F.lit(0)))
     depth = 0
-    while True:
-        step = state.where(F.col("depth") == depth).join(e, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-        depth += 1
-        new = step.join(state, "id", "left_anti").withColumn("depth", F.lit(depth))
-        state = cut(state.unionAll(new).repartition("id"))
-        if not state.where(F.col("depth") == depth).limit(1).count():
-            return state
+    while e.count() > alone.WALKED:
+        for _ in range(8):
+            step = front.join(e, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+            depth += 1
+            front = cut(step.join(state.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
+            if not front.limit(1).count():
+                return state
+            state = state.unionAll(front)
+        state = cut(state.repartition("id"))
+        e = cut(e.join(state.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    return state.unionAll(alone.walked(e, front, depth))
 
 
 def shortest_path(edges: DataFrame, start: object, goal: object) -> list:

@@ -1,3 +1,7 @@
+import time
+
+import pytest
+
 from stratalens.operators import graph as G
 from stratalens.operators import resolve as R
 
@@ -96,3 +100,19 @@ def test_calls(spark):
     c = spark.createDataFrame([(1, "f1", "f1::a", "in", None), (2, "f1", "f1::a", "b", "x"), (3, "f1", "f1::a", "b", None), (4, "f1", "f1::a", "none", None)], "call_id int, file_path string, caller string, target string, receiver string")
     im = spark.createDataFrame([("f1", "f3", 1)], "src string, dst string, ordinal int")
     assert {r.call_id: (r.callee, r.confidence) for r in R.call_edges(c, sy, im).collect()} == {1: ("f1::in", 1.0), 2: ("f3::b", 0.7), 3: ("f2::b", 0.3)}
+
+
+def test_deep_graphs_are_walked_in_one_task(spark):
+    # a chain of 400 links: a job for each would take minutes
+    chain = edges(spark, [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(400)] + [("n400", "n000"), ("z", "n000")])
+    began = time.time()
+    got = {r.id: r.depth for r in G.reachable(chain, nodes(spark, ["n000", None])).collect()}
+    assert got == {f"n{i:03d}": i for i in range(401)} | {None: 0} and time.time() - began < 60
+
+
+@pytest.mark.parametrize("most", [0, 3, 6])
+def test_rounds_and_one_task_reach_the_same(spark, monkeypatch, most):
+    monkeypatch.setattr(G.alone, "WALKED", most)
+    e = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (6, 7), (7, 8), (8, 9), (9, 10), (10, 11), (11, 3), (1, 3), (20, 1), (21, 22), (22, 21), (2, 2)]
+    got = {r.id: r.depth for r in G.reachable(spark.createDataFrame(e, "src long, dst long"), spark.createDataFrame([(1,), (40,)], "id int")).collect()}
+    assert got == {1: 0, 40: 0, 2: 1, 3: 1} | {i: i - 2 for i in range(4, 12)}

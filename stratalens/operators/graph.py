@@ -223,8 +223,8 @@ def inheritance_depth(heritage: DataFrame, most: int = 50) -> DataFrame:
 def dead_files(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Unreachable files that are no entry points and no tests: confidence 1.0 without inbound edges, else 0.6."""
     live = reachable(edges, nodes.where("is_entry").select("id")).select("id")
-    n = degrees(nodes, edges).select("id", "in_degree")
-    d = nodes.where("not is_entry and not is_test").join(live, "id", "left_anti").join(n, "id")
+    n = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("in_degree"))
+    d = nodes.where("not is_entry and not is_test").join(live, "id", "left_anti").join(n, "id", "left").fillna(0, ["in_degree"])
     conf = F.when(F.col("in_degree") == 0, 1.0).otherwise(0.6)
     return d.select("id", "path", "in_degree", conf.alias("confidence"), (conf >= 0.9).alias("safe_to_delete"))
 

@@ -116,3 +116,16 @@ def test_rounds_and_one_task_reach_the_same(spark, monkeypatch, most):
     e = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (6, 7), (7, 8), (8, 9), (9, 10), (10, 11), (11, 3), (1, 3), (20, 1), (21, 22), (22, 21), (2, 2)]
     got = {r.id: r.depth for r in G.reachable(spark.createDataFrame(e, "src long, dst long"), spark.createDataFrame([(1,), (40,)], "id int")).collect()}
     assert got == {1: 0, 40: 0, 2: 1, 3: 1} | {i: i - 2 for i in range(4, 12)}
+
+
+def deep(spark):
+    """A chain of 400 links from an entry point, and two files that nothing reaches."""
+    ids = [f"n{i:03d}" for i in range(401)] + ["odd", "out"]
+    n = spark.createDataFrame([(i, f"src/{i}.go", i == "n000", False) for i in ids], "id string, path string, is_entry boolean, is_test boolean")
+    return n, edges(spark, [*zip(ids, ids[1:401]), ("odd", "out"), ("odd", "n000")])
+
+
+def test_dead_files_of_a_deep_graph(spark):
+    began = time.time()
+    got = {tuple(r) for r in G.dead_files(*deep(spark)).collect()}
+    assert got == {("odd", "src/odd.go", 0, 1.0, True), ("out", "src/out.go", 1, 0.6, False)} and time.time() - began < 60

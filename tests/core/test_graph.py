@@ -129,3 +129,12 @@ def test_dead_files_of_a_deep_graph(spark):
     began = time.time()
     got = {tuple(r) for r in G.dead_files(*deep(spark)).collect()}
     assert got == {("odd", "src/odd.go", 0, 1.0, True), ("out", "src/out.go", 1, 0.6, False)} and time.time() - began < 60
+
+
+def test_dead_order_of_a_deep_graph(spark, monkeypatch):
+    from stratalens.plans import cards
+
+    n, e = deep(spark)
+    monkeypatch.setattr(cards, "view", lambda s, d, name: n if name == "g_nodes" else e)
+    began = time.time()
+    assert [r.id for r in cards.QUERIES["srt4_dead_order"](spark, "").collect()] == ["odd", "out"] and time.time() - began < 60

@@ -133,7 +133,8 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int | None = None, l
     Every round moves a part of the nodes (by hash; half of them at first) to the neighbouring community of highest gain, so
     that a sweep of rounds gives each node its turn. A level ends when a sweep moves nothing; a sweep that does not raise
     modularity, because nodes moved at once, is undone and repeated in twice as many parts, up to 64. Between levels
-    communities become nodes, until a level merges nothing. rounds and levels, if given, bound both. Ids run from 1 by size
+    communities become nodes, until a level merges nothing. A level of no more than `alone.DIVIDED` links is finished in one
+    task with all levels above it, moving one node at a time. rounds and levels, if given, bound both. Ids run from 1 by size
     descending, then by smallest member. Isolated nodes are communities of one.
     """
     und = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("w"))
@@ -144,6 +145,11 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int | None = None, l
         level = 0
         while levels is None or level < levels:
             level += 1
+            if both.count() <= 2 * alone.DIVIDED:
+                left = None if levels is None else levels - level + 1
+                own = alone.grouped(both, lambda g: alone.louvain(g, rounds, left))
+                member = cut(member.join(own.select(F.col("x").alias("c"), F.col("c").alias("n")), "c", "left").select("id", F.coalesce("n", "c").alias("c")))
+                break
             deg = cut(both.groupBy("x").agg(F.sum("w").alias("k")))
             own = cut(deg.select("x", F.col("x").alias("c"), "k"))
             best_own, best_q, moved_any = own, _modularity(both, own, m2), False

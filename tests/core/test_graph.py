@@ -1,5 +1,8 @@
+import random
 import time
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from stratalens.operators import graph as G
@@ -138,3 +141,43 @@ def test_dead_order_of_a_deep_graph(spark, monkeypatch):
     monkeypatch.setattr(cards, "view", lambda s, d, name: n if name == "g_nodes" else e)
     began = time.time()
     assert [r.id for r in cards.QUERIES["srt4_dead_order"](spark, "").collect()] == ["odd", "out"] and time.time() - began < 60
+
+
+def test_communities_of_a_sparse_graph_end(spark):
+    rnd = random.Random(3)
+    pairs = sorted({(rnd.randrange(1500), rnd.randrange(1500)) for _ in range(1700)})
+    began = time.time()
+    df = spark.createDataFrame(pairs, "src long, dst long")
+    both = [{r.id: r.community_id for r in G.communities(spark.range(1500), d).collect()} for d in (df, df.repartition(3, "dst"))]
+    m = both[0]
+    assert both[0] == both[1] and len(m) == 1500 and time.time() - began < 120
+    # no move of a node, alone or to a neighbour, and no merge of two communities raises modularity
+    links = [(a, b) for a, b in pairs if a != b]
+    k = Counter(x for e in links for x in e)
+    m2, tot = sum(k.values()), Counter()
+    for i, c in m.items():
+        tot[c] += k[i]
+    near = Counter()
+    for a, b in links:
+        near[a, m[b]] += 1
+        near[b, m[a]] += 1
+    gain = lambda i, c: near[i, c] * m2 - k[i] * (tot[c] - (k[i] if c == m[i] else 0))
+    assert all(gain(i, c) <= max(0, gain(i, m[i])) for i, c in near) and all(gain(i, m[i]) >= 0 for i in m)
+    between = Counter(tuple(sorted((m[a], m[b]))) for a, b in links if m[a] != m[b])
+    assert between and all(n * m2 <= tot[a] * tot[b] for (a, b), n in between.items())
+
+
+@pytest.mark.parametrize("most", [0, 4])
+def test_communities_by_rounds_and_in_one_task(spark, monkeypatch, most):
+    monkeypatch.setattr(G.alone, "DIVIDED", most)
+    e = [(a, b) for k in range(4) for a in range(5 * k, 5 * k + 5) for b in range(a + 1, 5 * k + 5)] + [(0, 5), (10, 15)]
+    m = {r.id: r.community_id for r in G.communities(spark.range(21), spark.createDataFrame(e, "src long, dst long")).collect()}
+    # 4 cliques, two by two tied by one link
+    assert all(len({m[i] for i in range(5 * k, 5 * k + 5)}) == 1 for k in range(4)) and len(set(m.values())) == 5 and m[20] == 5
+
+
+def test_loops_and_heavy_links_in_one_task():
+    g = G.alone.Graph(4, np.array([0, 1, 2, 2, 1]), np.array([1, 0, 3, 2, 2]), np.array([3, 2, 4, 5, 1]) * 2**30)
+    assert g.k == [5 * 2**30, 6 * 2**30, 15 * 2**30, 4 * 2**30] and g.m2 == 30 * 2**30
+    c = G.alone.louvain(g)
+    assert c[0] == c[1] != c[2] == c[3]

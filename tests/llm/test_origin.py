@@ -35,3 +35,20 @@ def test_rows(spark):
     got = {tuple(r) for r in O.labelled(d, O.train(d)).collect()}
     assert got == {(1, "hand"), (2, "hand"), (4, "vendored")}
     assert O.labelled(d.limit(0), O.train(d.limit(0))).count() == 0
+
+
+def test_models_count_all_files(spark):
+    rows = [(i, "go", f"package a\n\nfunc loadRow{i % 7}(size int) int {{ return size }}\n") for i in range(3200)]
+    d = spark.createDataFrame(rows + rows[:50] + [(9000, "go", ""), (9001, "text", "word"), (9002, "go", "// Code generated by rowgen. DO NOT EDIT.\nfunc made() {}\n")], "file_id long, language string, content string")
+    got = O.train(d.repartition(5))
+    words = Counter(w for _, _, t in rows for w in O.identifiers(t))
+    want = O.Names(words)
+    assert set(got) == {"go"} and got["go"].n == want.n and got["go"].d == want.d and got["go"].mean == want.mean
+    # the mean is that of all names
+    assert want.d["^^"] == words.total() and abs(want.mean - sum(want.bits(w) * k for w, k in words.items()) / words.total()) < 1e-6
+
+
+def test_comments_are_found_by_both_patterns():
+    for text in ["a // b\nc", "// b", "a/*x\ny*/b", "a//b", "#[x]\n# y\nz", " #!a\n/* open", "x\t# y /* z\n*/", "/**/ /*/ */ //", "a\r// b", "u\u2028// c", "\n\n#a\n", "/ /* x */#b", "é# x\n/# y", "## # x", "/// x\n//", "*/ # a"]:
+        assert O._MARKED.sub(" ", text) == O._COMMENTS.sub(" ", text), text
+    assert O.uncommented('  """doc\n"""\nx = 1 # y') == " \nx = 1  "

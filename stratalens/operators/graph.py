@@ -235,6 +235,22 @@ def dead_files(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return d.select("id", "path", "in_degree", conf.alias("confidence"), (conf >= 0.9).alias("safe_to_delete"))
 
 
+def unlinked_files(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The dead files of confidence 1.0. No edge leads to them and they are no entry points, so that nothing has to be walked."""
+    met = edges.select(F.col("dst").alias("id")).unionAll(nodes.where("is_entry").select("id"))
+    d = nodes.where("not is_entry and not is_test").join(met, "id", "left_anti")
+    return d.select("id", "path", F.lit(0).cast("long").alias("in_degree"), F.lit(1.0).alias("confidence"), F.lit(True).alias("safe_to_delete"))
+
+
+def surest_dead(nodes: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
+    """Dead files that hold the first `limit` of them by confidence, path and id.
+
+    Those of confidence 1.0 come first; only where they are too few, the graph is walked for all.
+    """
+    first = cut(unlinked_files(nodes, edges).orderBy("path", "id").limit(limit))
+    return first if first.count() == limit else dead_files(nodes, edges)
+
+
 def dead_symbols(symbols: DataFrame, edges: DataFrame, roots: DataFrame, floor: float = 0.5) -> DataFrame:
     """Unreachable symbols: 0.8 without inbound edges other than `defines`, else 0.5. symbols: id; edges: src, dst, edge_type."""
     live = reachable(edges, roots).select("id")

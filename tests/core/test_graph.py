@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratalens.operators import graph as G
 from stratalens.operators import resolve as R
@@ -143,6 +144,33 @@ def test_dead_order_of_a_deep_graph(spark, monkeypatch):
     assert [r.id for r in cards.QUERIES["srt4_dead_order"](spark, "").collect()] == ["odd", "out"] and time.time() - began < 60
 
 
+def test_dead_order_needs_no_walk_where_enough_is_unlinked(spark, monkeypatch):
+    from stratalens.plans import cards
+
+    n, e = deep(spark)
+    more = [(f"x{i:03d}", f"src/{i % 7}.go", i == 5, i == 6) for i in range(110)]
+    n, e = n.unionAll(spark.createDataFrame(more, n.schema)), e.unionAll(edges(spark, [("x000", "x000"), (None, "x001")]))
+    monkeypatch.setattr(cards, "view", lambda s, d, name: n if name == "g_nodes" else e)
+    want = [r for r in G.dead_files(n, e).orderBy(F.desc("confidence"), "path", "id").limit(100).collect()]
+    types = G.dead_files(n, e).dtypes
+    monkeypatch.setattr(G, "reachable", lambda *a: pytest.fail("the graph is walked"))
+    got = cards.QUERIES["srt4_dead_order"](spark, "")
+    assert got.collect() == want and got.dtypes == types and len(want) == 100 and {r.confidence for r in want} == {1.0}
+    assert not {r.id for r in want} & {"x000", "x001", "x005", "x006", "out"}
+
+
+@pytest.mark.parametrize("limit", [1, 3, 4, 9])
+def test_surest_dead_are_the_first_of_all_dead(spark, limit):
+    # dup is an entry point in one row only; loop links to itself; c and d are linked from dead files
+    n = [(1, "m", True, False), (2, "z", False, False), (3, "b", False, True), (4, "a", False, False), (5, "a", False, False), (6, "dup", True, False), (6, "dup", False, False), (7, "loop", False, False), (8, "c", False, False), (9, "d", False, False), (10, "y", False, False), (None, "null", False, False)]
+    n = spark.createDataFrame(n, "id long, path string, is_entry boolean, is_test boolean")
+    e = spark.createDataFrame([(1, 10), (7, 7), (2, 8), (3, 9), (2, 8), (8, None)], "src long, dst long")
+    order = [F.desc("confidence"), "path", "id"]
+    want = [(4, 1.0), (5, 1.0), (None, 1.0), (2, 1.0), (8, 0.6), (9, 0.6), (7, 0.6)]
+    some, whole = G.surest_dead(n, e, limit).orderBy(*order).limit(limit).collect(), G.dead_files(n, e).orderBy(*order).limit(limit).collect()
+    assert some == whole and [(r.id, r.confidence) for r in some] == want[:limit]
+
+
 def test_communities_of_a_sparse_graph_end(spark):
     rnd = random.Random(3)
     pairs = sorted({(rnd.randrange(1500), rnd.randrange(1500)) for _ in range(1700)})
